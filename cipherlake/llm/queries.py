@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_extract, near_dup, pii, quality, secret_scan, token_counts, toxicity
+from . import byte_bpe, context_mixing, decontaminate, html_extract, near_dup, pii, quality, secret_scan, token_counts, toxicity
 
 QUERIES = {
+    "op1_context_mixing": context_mixing.query,
     "op2_quality_rules": quality.query,
     "op3_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
