@@ -11,8 +11,8 @@ A text is its lower-cased words and one end mark. Three predictors make up a tok
   log-odds are summed with weights chosen by a gate (how well the word so far is known, the place
   in the word) and each context's own confidence. Each distinct training token teaches them once.
 
-The score is the base-10 logarithm of the product: minus its value over log10(2) and the bytes
-is bits per byte. A word that training never saw pays for its spelling, which the base score
+The score is the base-10 logarithm of the product; minus its value over log10(2) and the bytes
+(one at least) is bits per byte. A word that training never saw pays for its spelling, which the base score
 does not ask of it.
 
 Training covers all training rows (crc32 of the id modulo 7 is not 2). Token counts are one
@@ -269,7 +269,7 @@ def _merged(rows: DataFrame, merge, out: np.ndarray) -> np.ndarray:
 
     schema = "block long, salt int, counts binary"
     whole = rows.groupBy("block", "salt").applyInPandas(group, schema).groupBy("block").applyInPandas(group, schema)
-    for row in whole.toLocalIterator():
+    for row in whole.collect():  # no more than the table itself, whose size is fixed
         at = row["block"] * BLOCK
         out[..., at : at + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), out.dtype).reshape(*out.shape[:-1], BLOCK)
     return out
@@ -373,7 +373,7 @@ def learn_gates(training: DataFrame, table) -> np.ndarray:
     return (hits + 0.5) / (tries + 2)
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token: binary, times: bigint, open: bigint, spelling: double>>"
+SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<token: binary, times: bigint, open: bigint, spelling: double>>"
 
 
 def score_rows(docs: DataFrame, tables, weights: np.ndarray, history, gates: np.ndarray, heavy, total: int, kinds: int, discount: float) -> DataFrame:
@@ -386,7 +386,8 @@ def score_rows(docs: DataFrame, tables, weights: np.ndarray, history, gates: np.
         known, spelled = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
-                t = Tokens(*T.buffers(part.column("text")))
+                data, offsets = T.buffers(part.column("text"))
+                t = Tokens(data, offsets)
                 held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
                 made, hit, gate = t.predictions(history.value, ~held)
                 flag = np.zeros(t.doc.size)
@@ -423,7 +424,7 @@ def score_rows(docs: DataFrame, tables, weights: np.ndarray, history, gates: np.
                 rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // t.keys.size, np.arange(t.n + 1)).astype(np.int32)), items)
                 rows = np.arange(row, row + t.n)
                 row += t.n
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), rare], names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
 
     return docs.mapInArrow(run, SCORED)
 
@@ -457,7 +458,9 @@ def score(docs: DataFrame) -> DataFrame:
     more = rare.groupBy("row").agg(F.sum(F.col("times") * (F.log10(n + 1.0) - scale)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.when(F.col("open") > 0, F.col("open") * own).otherwise(0.0)).alias("own"))
     rows = scored.drop("rare").join(more, "row", "left")
     nothing = F.lit(0.0)
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", nothing)).alias("base_score"), (F.col("score") + F.coalesce("own", nothing)).alias("score"))
+    total_score = F.col("score") + F.coalesce("own", nothing)
+    bits = -total_score / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", nothing)).alias("base_score"), total_score.alias("score"), bits.alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

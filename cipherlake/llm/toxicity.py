@@ -4,7 +4,7 @@ Features are lexicon densities, lexicon words near the second person, capitals,
 obfuscation rates. The lexicon is a short list of insults joined with the words that training
 labels single out. Labels are read only for training rows (crc32 of the id modulo 4 is not 2),
 at most ``SAMPLE`` of them, those of least hash; trees learn from two thirds, the calibration
-from the rest. Language, source and id are no inputs. Null and empty texts are scored like any
+from the rest. Language, source and id are no inputs. A row without id is not held out. Null and empty texts are scored like any
 other. Each input row gives one row.
 """
 
@@ -114,7 +114,7 @@ class Model(NamedTuple):
 
 
 def is_held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
