@@ -8,10 +8,12 @@ wrong place (pigeonhole), so a signature is indexed under each chunk with each s
 masked. With 48 places and a distance of 23, a pair at the threshold is missed with a
 probability of about one in a million. Candidates are confirmed on full sets.
 
-Large groups of near copies are not paired out. First every bucket is compared with its most
-central member only, twice, and linked documents are merged; then only members outside their
-bucket's largest component are compared with the members of other components. No pair that
-could still join two components is left out.
+Large groups of near copies are not paired out. First every document is compared with the most
+central member of its buckets only, then with one of each other component that it meets, and
+linked documents are merged; then only members outside their bucket's largest component are
+compared with the members of other components, each pair once, if bitmaps of their sets allow the
+similarity. No pair that could still join
+two components is left out.
 
 Null, empty and word-free texts have empty sets and link with nothing; fewer than four words
 are one shingle. Each input row gives one row; rows that share an id but not a text are
@@ -32,7 +34,9 @@ from .shared import written
 
 SHINGLE, PERCENT = 4, 80
 HASHES, CHUNKS, DISTANCE = 48, 12, 23
-#: Rounds that compare each bucket with its most central member.
+#: Longs in the bitmap of a set.
+BITMAP = 16
+#: Rounds that compare documents with the most central members of their buckets.
 HUB_ROUNDS = 2
 
 _ROUND = np.random.RandomState(9)
@@ -99,11 +103,24 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep): each chunk of a signature with each single place masked, as one 64-bit key."""
+    """(key, at, rep): each chunk of a signature with each single place masked, as one 64-bit key; ``at`` numbers chunk and place."""
     width = HASHES // CHUNKS
     place = lambda c, k: F.get("signature", F.lit(c * width + k))
     keys = [F.xxhash64(F.lit(c * width + m), *(place(c, k) for k in range(width) if k != m)) for c in range(CHUNKS) for m in range(width)]
-    return classes.select("rep", F.explode(F.array(*keys)).alias("key"))
+    return classes.select("rep", F.posexplode(F.array(*keys)).alias("at", "key")).select("key", "at", "rep")
+
+
+def _first_shared(a: str, b: str) -> str:
+    """SQL: the first chunk and masked place under which both signatures are indexed alike, so a pair is made once."""
+    width = HASHES // CHUNKS
+    differ = lambda i: f"int({a}.signature[{i}] <> {b}.signature[{i}])"
+    cases = []
+    for c in range(CHUNKS):
+        places = range(c * width, c * width + width)
+        wrong = " + ".join(map(differ, places))
+        mask = " ".join(f"when {a}.signature[{i}] <> {b}.signature[{i}] then {i}" for i in places)
+        cases.append(f"when {wrong} = 0 then {c * width} when {wrong} = 1 then case {mask} end")
+    return f"case {' '.join(cases)} end"
 
 
 def _near(a: str, b: str) -> str:
@@ -115,22 +132,33 @@ def _near(a: str, b: str) -> str:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(rep, shingles): sorted distinct shingle hashes of each document."""
+    """(rep, shingles, bits): sorted distinct shingle hashes of each document, and a bitmap of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 value, at = shingles(*T.buffers(part.column("text")))
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), sets], names=["rep", "shingles"])
+                bits = np.zeros((at.size - 1, 64 * BITMAP), bool)
+                bits[np.repeat(np.arange(at.size - 1), np.diff(at)), (value % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+                packed = pa.array(np.packbits(bits, axis=1).view(np.int64).ravel())
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(at.size, dtype=np.int32) * BITMAP), packed)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), sets, maps], names=["rep", "shingles", "bits"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>, bits array<long>")
+
 
-    return docs.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
+def _allowed(a: str, b: str) -> str:
+    """SQL: the bitmaps allow the similarity. A bit of one set that the other lacks stands for a shingle or more that it lacks."""
+    lacks = lambda p, q: f"{p}.n - (" + " + ".join(f"bit_count({p}.b{i} & ~{q}.b{i})" for i in range(BITMAP)) + ")"
+    return f"least({lacks(a, b)}, {lacks(b, a)}) * {100 + PERCENT} >= ({a}.n + {b}.n) * {PERCENT}"
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "rep", "left_semi")), "sets")
+    if sets is None:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = written(shingle_sets(docs.join(wanted, "rep", "left_semi")), "sets")
     left, right = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -178,28 +206,30 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a member that meets many others, over all its keys, is central
     keys = written(keys.join(sizes, "key"), "keys")
     central = keys.groupBy("rep").agg(F.sum("members").alias("met"))
-    members = keys.select("key", "rep")
+    members = keys.select("key", "at", "rep")
     about = classes.join(central, "rep").select("rep", "n", "signature", "met")
     texts = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    links, current, done = None, about.withColumn("comp", F.col("rep")), None
-    for _ in range(HUB_ROUNDS):
-        placed = members.join(current.select("rep", "met", "comp"), "rep")
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = placed.join(open_keys, "key")
-        hubs = (rest if done is None else rest.join(done, ["key", "rep"], "left_anti")).groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("rep")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
-        hubs = written(hubs, "hubs")
-        star = rest.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
-        pairs = _candidates(star, current)
-        links = _more(links, confirm(texts, pairs))
+    links, current = None, about.withColumn("comp", F.col("rep"))
+    for turn in range(HUB_ROUNDS):
+        placed = members.select("key", "rep").join(current.select("rep", "met", "comp"), "rep")
+        hub = F.max(F.struct("met", (-F.col("rep")).alias("back"), "comp")).alias("h")
+        hubs = placed.groupBy("key").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "h")
+        star = placed.select("key", "rep", "comp").join(hubs, "key").where("comp <> h.comp")
+        # a member tries one hub at first, then one of each other component that it meets
+        best = star.groupBy("rep", *([] if turn == 0 else ["h.comp"])).agg(F.max("h").alias("h"))
+        links = _more(links, confirm(texts, _candidates(best.select("rep", (-F.col("h.back")).alias("hub")), current)))
         current = written(label(about, links), "labels")
-        done = hubs.select("key", F.col("hub").alias("rep"))
     placed = members.join(current.select("rep", "comp"), "rep")
     sized = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    rest = placed.join(main, "key").join(current.select("rep", "n", "signature"), "rep")
+    open_members = written(placed.join(main, "key"), "open")
+    sets = written(shingle_sets(texts.join(open_members.select("rep").distinct(), "rep", "left_semi")), "sets")
+    bits = sets.select("rep", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
+    rest = open_members.join(current.select("rep", "n", "signature"), "rep").join(bits, "rep")
     x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
-    pairs = x.join(y, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_near('x', 'y')}")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    links = _more(links, confirm(texts, written(pairs, "pairs")))
+    other = f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_allowed('x', 'y')} and {_near('x', 'y')} and x.at = {_first_shared('x', 'y')}"
+    pairs = x.join(y, F.expr(other)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    links = _more(links, confirm(texts, written(pairs, "pairs"), sets))
     final = label(classes, links).select("set_a", "set_b", "n", "comp")
     return signed, final
 
