@@ -16,7 +16,7 @@ The score is the base-10 logarithm of the product; minus its value over log10(2)
 does not ask of it.
 
 Training covers all training rows (crc32 of the id modulo 7 is not 2). Token counts are one
-aggregation; context counts and the history table are merged from every task; weights are refined
+aggregation, and each distinct token is spelled once; context counts and the history table are merged from every task; weights are refined
 online, by damped Newton steps with the token at hand left out of the counts, in every task over
 its share of the distinct tokens, and averaged. Tables have a fixed number of slots, so what is
 broadcast does not grow with the corpus. A training row's own occurrence does not count in its
@@ -42,19 +42,19 @@ from . import _text as T
 from .shared import written
 
 FOLDS, HELD = 7, 2
-#: Tokens with at least this share of all tokens are broadcast: 500,000 at most.
-HEAVY_SHARE = 2e-6
+#: Tokens with at least this share of all tokens are broadcast: 2,000,000 at most, 16 bytes each.
+HEAVY_SHARE = 5e-7
 #: Bytes of text whose equal tokens are scored together.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Bits of each context's table (one to four bytes, the word so far), and of the history table.
 BITS, HISTORY = (16, 20, 20, 21, 22), 21
 WORD = len(BITS) - 1
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
 #: Slots that travel as one row, and tasks that gather context counts at most.
-BLOCK, TASKS = 4096, 256
-BUCKETS, PLACES, PASSES = 8, 4, 3
+BLOCK, TASKS = 1 << 16, 256
+BUCKETS, PLACES, STEP = 8, 4, 1 << 14
 K = len(BITS)
-PRIOR, CHUNK, REMEMBERED = 0.4, 1 << 16, 600_000
+PRIOR, CHUNK = 0.4, 1 << 16
 SPACE, END = 0x20, 0x0A
 GATES = 16
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -144,8 +144,8 @@ class Mixer:
     def refine(self, stream: Stream, state: np.ndarray) -> float:
         """Online steps over all bytes, each token left out of the counts in turn; the bits seen."""
         flat = self.weights.ravel()
-        for start in range(0, stream.byte.size, CHUNK):
-            part = np.arange(start, min(start + CHUNK, stream.byte.size))
+        for start in range(0, stream.byte.size, STEP):
+            part = np.arange(start, min(start + STEP, stream.byte.size))
             place = np.minimum(stream.place[part], PLACES - 1)
             slope, bend = np.zeros(flat.size), np.zeros(flat.size)
             for bit, at in slots(stream.take(part), stream.byte[part]):
@@ -163,7 +163,7 @@ class Mixer:
                 for c, x in zip(cells, inputs):
                     slope += np.bincount(c, err * x, flat.size)
                     bend += np.bincount(c, curve * x * x, flat.size)
-            state *= 0.8
+            state *= 0.9
             state += bend
             flat += (0.3 * slope / (state + 20)).astype(np.float32)
             np.clip(flat, -1, 2.5, out=flat)
@@ -190,17 +190,18 @@ class Tokens:
         self.data = np.append(low, np.uint8(END))
         self.doc = np.concatenate([doc, np.arange(self.n)])[order]
         self.hash = np.concatenate([keys, np.full(self.n, _END_HASH)])[order]
+        self.starts = np.concatenate([starts, np.full(self.n, low.size)])[order]
+        self.lengths = np.concatenate([ends - starts, np.ones(self.n, np.int64)])[order]
+
+    def gather(self) -> None:
+        """Put equal tokens together."""
         self.keys, first, self.inverse = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.starts = np.concatenate([starts, np.full(self.n, low.size)])[order][first]
-        self.lengths = np.concatenate([ends - starts, np.ones(self.n, np.int64)])[order][first]
+        self.starts, self.lengths = self.starts[first], self.lengths[first]
 
     def names(self, chosen: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
         return [raw[a : a + n] for a, n in zip(self.starts[chosen].tolist(), self.lengths[chosen].tolist())]
 
-    def stream(self, chosen: np.ndarray) -> Stream:
-        return Stream(self.data, self.starts[chosen], self.lengths[chosen])
-
     def history(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: the history slot of the two before it, and its own 24-bit mark."""
         size = self.hash.size
@@ -235,17 +236,44 @@ def _parts(starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> Iterat
         i = j
 
 
-def count_tokens(training: DataFrame) -> DataFrame:
-    """(token, n) over all training texts."""
+_OPENED: dict[str, tuple[bytes, object]] = {}
+
+
+def _packed(table: np.ndarray) -> bytes:
+    """For a broadcast: empty slots take no room."""
+    return zlib.compress(table.tobytes(), 1)
+
+
+def _opened(name: str, packed: bytes, build):
+    """build(bytes) of a broadcast, once in each worker."""
+    if name not in _OPENED or _OPENED[name][0] is not packed:
+        _OPENED[name] = (packed, build(zlib.decompress(packed)))
+    return _OPENED[name][1]
+
+
+def _history(shared) -> np.ndarray:
+    return _opened("history", shared.value, lambda raw: np.frombuffer(raw, np.uint32))
+
+
+def _mixer(shared, weights: np.ndarray) -> Mixer:
+    mixer = _opened("mixer", shared.value, lambda raw: Mixer(np.frombuffer(raw, np.uint16).reshape(2, -1), weights))
+    mixer.weights = weights.astype(np.float32)
+    return mixer
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(token, n) of every token: n over all training texts, 0 if only held-out ones have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
                 t = Tokens(*T.buffers(part.column("text")))
-                n = np.bincount(t.inverse, minlength=t.keys.size)
+                t.gather()
+                own = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
+                n = np.bincount(t.inverse, own[t.doc], t.keys.size)
                 yield pa.RecordBatch.from_arrays([pa.array(t.names(np.arange(t.keys.size)), pa.binary()), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    return training.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,25 +281,26 @@ def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The non-empty blocks of a table whose last axis is slots."""
+def _blocks(table: np.ndarray, change=lambda block: block) -> Iterator[pa.RecordBatch]:
+    """The non-empty blocks of a table whose last axis is slots, each changed first."""
     for b in np.flatnonzero(table.reshape(-1, table.shape[-1] // BLOCK, BLOCK).any((0, 2))).tolist():
-        packed = zlib.compress(np.ascontiguousarray(table[..., b * BLOCK : (b + 1) * BLOCK]).tobytes(), 1)
+        packed = zlib.compress(np.ascontiguousarray(change(table[..., b * BLOCK : (b + 1) * BLOCK])).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([packed], pa.binary())], names=["block", "salt", "counts"])
 
 
 def _merged(rows: DataFrame, merge, out: np.ndarray) -> np.ndarray:
     """Merge blocks in two steps, so that no group grows with the number of tasks, into out."""
+    kind, shape = out.dtype, (*out.shape[:-1], BLOCK)  # the function must not carry the table along
 
     def group(pdf):
-        parts = [np.frombuffer(zlib.decompress(x), out.dtype).reshape(*out.shape[:-1], BLOCK) for x in pdf["counts"]]
+        parts = [np.frombuffer(zlib.decompress(x), kind).reshape(shape) for x in pdf["counts"]]
         return pdf.head(1).assign(counts=[zlib.compress(merge(parts).tobytes(), 1)])
 
     schema = "block long, salt int, counts binary"
     whole = rows.groupBy("block", "salt").applyInPandas(group, schema).groupBy("block").applyInPandas(group, schema)
     for row in whole.collect():  # no more than the table itself, whose size is fixed
         at = row["block"] * BLOCK
-        out[..., at : at + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), out.dtype).reshape(*out.shape[:-1], BLOCK)
+        out[..., at : at + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), kind).reshape(shape)
     return out
 
 
@@ -297,7 +326,7 @@ def context_counts(types: DataFrame) -> np.ndarray:
     size = int(OFFSET[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * size, np.int64)
+        seen = np.zeros(2 * size, np.int32)
         for batch in batches:
             for begin in range(0, batch.num_rows, 20_000):
                 stream = Stream(*_flat(batch.slice(begin, 20_000).column("token").to_pylist()))
@@ -306,7 +335,7 @@ def context_counts(types: DataFrame) -> np.ndarray:
                     for bit, at in slots(stream.take(part), stream.byte[part]):
                         for slot in at:
                             np.add.at(seen, bit * size + slot, 1)
-        yield from _blocks(_add([seen.reshape(2, size)]))
+        yield from _blocks(seen.reshape(2, size), lambda block: _add([block]))
 
     return _merged(types.select("token").coalesce(TASKS).mapInArrow(run, "block long, salt int, counts binary"), _add, np.zeros((2, size), np.uint16))
 
@@ -339,11 +368,9 @@ def learn_weights(types: DataFrame, tables) -> np.ndarray:
         mixer, state, seen = None, np.zeros(int(np.prod(shape))), 0.0
         for batch in batches:
             for begin in range(0, batch.num_rows, 100_000):
-                mixer = mixer or Mixer(tables.value, first_weights())
+                mixer = mixer or _mixer(tables, first_weights())
                 stream = Stream(*_flat(batch.slice(begin, 100_000).column("token").to_pylist()))
-                for _ in range(1 if seen else PASSES):
-                    bits = mixer.refine(stream, state)
-                seen += bits
+                seen += mixer.refine(stream, state)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mixer.weights.ravel().astype(float).tolist()], pa.list_(pa.float64()))], names=["seen", "w"])
 
@@ -354,111 +381,106 @@ def learn_weights(types: DataFrame, tables) -> np.ndarray:
     return out.reshape(shape)
 
 
-def learn_gates(training: DataFrame, table) -> np.ndarray:
-    """For each gate, how often its predictions come true in training texts."""
+def spell(types: DataFrame, tables, weights: np.ndarray) -> DataFrame:
+    """(token, n, spelling): log10 probability of each token's spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, hits = np.zeros(GATES, np.int64), np.zeros(GATES, np.int64)
         for batch in batches:
-            for part in T.slices(batch, "text", SLICE):
-                t = Tokens(*T.buffers(part.column("text")))
-                made, hit, gate = t.predictions(table.value, np.ones(t.n, bool))
-                tries += np.bincount(gate[made], minlength=GATES)
-                hits += np.bincount(gate[hit], minlength=GATES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), pa.array(tries), pa.array(hits)], names=["gate", "tries", "hits"])
-
-    got = training.select("text").mapInArrow(run, "gate long, tries long, hits long").groupBy("gate").agg(F.sum("tries").alias("tries"), F.sum("hits").alias("hits")).toPandas()
-    tries, hits = np.zeros(GATES), np.zeros(GATES)
-    tries[got["gate"]], hits[got["gate"]] = got["tries"], got["hits"]
-    return (hits + 0.5) / (tries + 2)
+            mixer = _mixer(tables, weights)
+            for begin in range(0, batch.num_rows, 20_000):
+                part = batch.slice(begin, 20_000)
+                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("n"), pa.array(mixer.log10(Stream(*_flat(part.column("token").to_pylist()))))], names=["token", "n", "spelling"])
 
+    return types.select("token", "n").mapInArrow(run, "token binary, n long, spelling double")
 
-SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<token: binary, times: bigint, open: bigint, spelling: double>>"
 
+SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, tries array<int>, hits array<int>, rare array<struct<token: binary, uses: bigint>>"
 
-def score_rows(docs: DataFrame, tables, weights: np.ndarray, history, gates: np.ndarray, heavy, total: int, kinds: int, discount: float) -> DataFrame:
-    """Of each row: the flags, the scores of heavy tokens, and its other tokens with their spelling."""
+
+def score_rows(docs: DataFrame, history, heavy, total: int, kinds: int, discount: float) -> DataFrame:
+    """Of each row: the scores of heavy tokens, predictions by gate, and its other tokens.
+
+    ``uses`` of a token is how often the text has it, times 2^32, plus how often no prediction of it came true."""
     scale = np.log10(max(total + kinds + 1, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, row = Mixer(tables.value, weights), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         keys, counts = heavy.value
-        known, spelled = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
                 data, offsets = T.buffers(part.column("text"))
                 t = Tokens(data, offsets)
+                t.gather()
                 held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-                made, hit, gate = t.predictions(history.value, ~held)
-                flag = np.zeros(t.doc.size)
-                flag[made] = np.log10(1 - gates)[gate[made]]
-                flag[hit] = np.log10(gates)[gate[hit]]
+                made, hit, gate = t.predictions(_history(history), ~held)
+                cell = t.doc * GATES + gate
+                by_gate = [np.bincount(cell[chosen], minlength=t.n * GATES).astype(np.int32) for chosen in (made, hit)]
+                gates = [pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * GATES), pa.array(x)) for x in by_gate]
                 where = np.minimum(np.searchsorted(keys, t.keys), max(keys.size - 1, 0))
                 is_heavy = keys[where] == t.keys if keys.size else np.zeros(t.keys.size, bool)
                 count = np.where(is_heavy, counts[where] if keys.size else 0, 0)
-                # the spelling of tokens that are not heavy, each once
-                light = np.flatnonzero(~is_heavy)
-                spelling = np.zeros(t.keys.size)
-                at = np.minimum(np.searchsorted(known, t.keys[light]), max(known.size - 1, 0))
-                old = known[at] == t.keys[light] if known.size else np.zeros(light.size, bool)
-                spelling[light[old]] = spelled[at[old]]
-                new = light[~old]
-                spelling[new] = mixer.log10(t.stream(new))
-                if known.size > REMEMBERED:
-                    known, spelled = np.zeros(0, np.uint64), np.zeros(0)
-                order = np.argsort(np.concatenate([known, t.keys[new]]))
-                known, spelled = np.concatenate([known, t.keys[new]])[order], np.concatenate([spelled, spelling[new]])[order]
                 base = np.where(is_heavy, np.log10(count + 1.0) - scale, 0.0)
                 own = np.where(is_heavy, np.log10(np.maximum(count - discount, 1e-9) / max(total, 1)), 0.0)
-                mine = np.bincount(t.doc, flag + np.where(hit, 0, own[t.inverse]), t.n)
+                mine = np.bincount(t.doc, np.where(hit, 0, own[t.inverse]), t.n)
                 base = np.bincount(t.doc, base[t.inverse], t.n)
                 n_known = np.bincount(t.doc, is_heavy[t.inverse], t.n).astype(np.int64)
                 n_tokens = np.bincount(t.doc, minlength=t.n).astype(np.int64)
                 other = np.flatnonzero(~is_heavy[t.inverse])
                 pair, back, times = np.unique(t.doc[other].astype(np.int64) * t.keys.size + t.inverse[other], return_inverse=True, return_counts=True)
-                open_times = np.bincount(back, ~hit[other], pair.size).astype(np.int64)
+                uses = (times.astype(np.int64) << 32) + np.bincount(back, ~hit[other], pair.size).astype(np.int64)
                 kind = pair % t.keys.size
                 named = np.unique(kind)
                 names = pa.array(t.names(named), pa.binary()).take(pa.array(np.searchsorted(named, kind)))
-                items = pa.StructArray.from_arrays([names, pa.array(times.astype(np.int64)), pa.array(open_times), pa.array(spelling[kind])], names=["token", "times", "open", "spelling"])
+                items = pa.StructArray.from_arrays([names, pa.array(uses)], names=["token", "uses"])
                 rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // t.keys.size, np.arange(t.n + 1)).astype(np.int32)), items)
                 rows = np.arange(row, row + t.n)
                 row += t.n
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), rare], names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
+                columns = [pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), *gates, rare]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "tries", "hits", "rare"])
 
     return docs.mapInArrow(run, SCORED)
 
 
+def learn_gates(scored: DataFrame) -> np.ndarray:
+    """For each gate, how often its predictions come true in training texts."""
+    at = lambda name, g: F.sum(F.get(name, F.lit(g)).cast("long"))
+    got = scored.where(~F.col("held_out")).agg(*(at(name, g) for name in ("tries", "hits") for g in range(GATES))).first()
+    tries, hits = np.array([x or 0 for x in got], float).reshape(2, GATES)
+    return (hits + 0.5) / (tries + 2)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """op1's columns for every row of docs."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = docs.where(~F.col("held_out"))
-    counts = written(count_tokens(training), "counts")
-    stats = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    types = written(count_tokens(docs), "counts")
+    training = types.where("n > 0")
+    stats = training.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     total, kinds, once, twice = (int(x or 0) for x in stats)
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
-    frequent = counts.where(F.col("n") >= max(2, total * HEAVY_SHARE)).toPandas()
+    least = max(2, total * HEAVY_SHARE)
+    frequent = types.where(F.col("n") >= least).toPandas()
     raw, starts, lengths = _flat([bytes(x) for x in frequent["token"]])
     keys = T.hash_runs(raw, starts, starts + lengths)
     order = np.argsort(keys)
     heavy = share((keys[order], frequent["n"].to_numpy(np.int64)[order]))
-    tables = share(context_counts(counts))
-    weights = learn_weights(counts, tables)
-    history = share(history_table(training))
-    gates = learn_gates(training, history)
-    scored = written(score_rows(docs, tables, weights, history, gates, heavy, total, kinds, discount), "scored")
-    n = F.coalesce("n", F.lit(0))
+    tables = share(_packed(context_counts(training)))
+    spelled = written(spell(types.where(F.col("n") < least), tables, learn_weights(training, tables)), "spelled")
+    history = share(_packed(history_table(docs.where(~F.col("held_out")))))
+    scored = written(score_rows(docs, history, heavy, total, kinds, discount), "scored")
+    gates = learn_gates(scored)
+    n, times, open_times = F.col("n"), F.shiftright("uses", 32), F.col("uses") % (1 << 32)
     scale, whole = float(np.log10(max(total + kinds + 1, 1))), float(max(total, 1))
     spare = max(discount * kinds, 1e-9) / whole
     own = F.log10(F.greatest(n - discount, F.lit(0.0)) / whole + spare * F.pow(F.lit(10.0), F.greatest("spelling", F.lit(-300.0))))
     own = F.when(n > 0, own).otherwise(np.log10(spare) + F.col("spelling"))
-    rare = scored.select("row", F.inline("rare")).join(counts, "token", "left")
-    more = rare.groupBy("row").agg(F.sum(F.col("times") * (F.log10(n + 1.0) - scale)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.when(F.col("open") > 0, F.col("open") * own).otherwise(0.0)).alias("own"))
+    valued = spelled.select("token", (F.log10(n + 1.0) - scale).alias("base_each"), (n > 0).cast("int").alias("is_known"), own.alias("own_each"))
+    rare = scored.select("row", F.inline("rare")).join(valued, "token")
+    more = rare.groupBy("row").agg(F.sum(times * F.col("base_each")).alias("more"), F.sum(times * F.col("is_known")).alias("known"), F.sum(F.when(open_times > 0, open_times * F.col("own_each")).otherwise(0.0)).alias("own"))
     rows = scored.drop("rare").join(more, "row", "left")
     nothing = F.lit(0.0)
-    total_score = F.col("score") + F.coalesce("own", nothing)
+    made = sum((F.get("hits", F.lit(g)) * float(np.log10(gates[g])) + (F.get("tries", F.lit(g)) - F.get("hits", F.lit(g))) * float(np.log10(1 - gates[g])) for g in range(GATES)), nothing)
+    total_score = F.col("score") + made + F.coalesce("own", nothing)
     bits = -total_score / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", nothing)).alias("base_score"), total_score.alias("score"), bits.alias("bits_per_byte"))
 
