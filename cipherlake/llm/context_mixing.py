@@ -326,16 +326,20 @@ def context_counts(types: DataFrame) -> np.ndarray:
     size = int(OFFSET[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * size, np.int32)
+        seen = np.zeros((2, size), np.int32)
         for batch in batches:
             for begin in range(0, batch.num_rows, 20_000):
                 stream = Stream(*_flat(batch.slice(begin, 20_000).column("token").to_pylist()))
+                found: list[list[np.ndarray]] = [[] for _ in range(K)]
                 for start in range(0, stream.byte.size, CHUNK):
                     part = np.arange(start, min(start + CHUNK, stream.byte.size))
                     for bit, at in slots(stream.take(part), stream.byte[part]):
-                        for slot in at:
-                            np.add.at(seen, bit * size + slot, 1)
-        yield from _blocks(seen.reshape(2, size), lambda block: _add([block]))
+                        for k, slot in enumerate(at):
+                            found[k].append(((slot - OFFSET[k]) * 2 + bit).astype(np.int32))
+                for k, cells in enumerate(found):
+                    more = np.bincount(np.concatenate(cells), minlength=2 << BITS[k]).reshape(-1, 2) if cells else 0
+                    seen[:, OFFSET[k] : OFFSET[k + 1]] += np.asarray(more, np.int32).T
+        yield from _blocks(seen, lambda block: _add([block]))
 
     return _merged(types.select("token").coalesce(TASKS).mapInArrow(run, "block long, salt int, counts binary"), _add, np.zeros((2, size), np.uint16))
 
