@@ -244,7 +244,7 @@ def sanitise(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
     """docs with sanitised texts; ``length``, where it is a column, is the new text's code points."""
     schema = docs.schema
     _, terms = analyse(docs)
-    key, extra = "__text_hash", "__terms"
+    key, extra, listed = "__text_hash", "__terms", terms is not None
     rows = docs
     if terms is not None:
         rows = docs.withColumn(key, F.xxhash64(F.col(text).cast("string"))).join(terms.select("doc_id", F.col("text_hash").alias(key), F.col("terms").alias(extra)), ["doc_id", key], "left").select(*docs.columns, extra)
@@ -254,7 +254,7 @@ def sanitise(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
             for part in T.slices(batch, text):
                 column = part.column(text)
                 todo = set(_suspects(*T.buffers(column)).tolist())
-                more = part.column(extra).to_pylist() if terms is not None else [None] * part.num_rows
+                more = part.column(extra).to_pylist() if listed else [None] * part.num_rows
                 new = {i: s for i in range(part.num_rows) if (i in todo or more[i]) and (s := sanitise_text(column[i].as_py(), more[i])) != column[i].as_py()}
                 arrays = {name: part.column(name) for name in schema.names}
                 if new:

@@ -88,6 +88,22 @@ def test_personal_data(docs):
         assert not text or not brute.personal(clean[d]) or not brute.personal(text)
 
 
+def test_disclosing_terms(spark):
+    """A rare name that stands with one address only goes; common words stay."""
+    rows = [(i, f"{FILLER[i % 20]} {FILLER[(i * 7 + 3) % 20]} Xanthippe {FILLER[(i * 3 + 1) % 20]} wrote x@y.example on {FILLER[(i * 11 + 5) % 20]}") for i in range(8)]
+    rows += [(100 + i, " ".join(FILLER[i % 7 :] + ["wrote", "on"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert len(clean) == len(rows)
+    for d, text in rows:
+        if d < 100:
+            assert "Xanthippe" not in clean[d] and "x@y" not in clean[d] and "<EMAIL>" in clean[d] and "wrote" in clean[d]
+            assert "term:" in spans[d]
+        else:
+            assert clean[d] == text and spans[d] == ""
+
+
 def test_contamination(docs, spark):
     df, rows = docs
     items = ITEMS if len(rows) == len(TEXTS) else [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
