@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one per block element. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms and comments count as empty, by element and by class or id;
-where the page marks its article, lines outside it do too. Text lengths are summed over
-sliding windows of lines: where the sums surge a body of text begins, where they fall to
-nothing it ends, and the text of the surging bodies is kept, whole and in page order.
+where the page marks its article its lines are the text. On other pages text lengths are summed
+over sliding windows of lines: where a sum reaches ``SURGE`` there is a body of text, which reaches
+both ways to where the sums fall below ``DIVE``. Every body is kept, in page order, with the
+short paragraphs and headings its windows take in. A page without a surge keeps all.
 
 Null, empty and text-free pages give the empty text. Each input row gives one row.
 """
@@ -23,11 +24,15 @@ from . import _text as T
 
 #: Lines in a window, and the characters in one at which a body of text begins.
 WINDOW, SURGE = 3, 80
+#: The characters in a window below which a body ends, and in a line below which it is cut from a body's edge unless it is a paragraph, heading or the like.
+DIVE, SCRAP = 40, 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "math", "object", "video", "audio", "canvas")}
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = frozenset("nav footer aside form head button menu dialog fieldset label".split())
+#: Elements of running text: a short line of theirs still belongs to the body it adjoins.
+_SOLID = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption caption td th".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end may be left out: they end with the next block, so they are not kept open.
 _LOOSE = frozenset("p li dd dt td th tr option tbody thead tfoot html body".split())
@@ -54,19 +59,20 @@ def _judge(tag: str, attributes: str) -> str:
     return "main" if main else ""
 
 
-def lines(html: str) -> list[tuple[str, bool, int]]:
-    """(text, inside a marked article, link characters) of each line; dropped ones are empty."""
-    out: list[tuple[str, bool, int]] = []
+def lines(html: str) -> list[tuple[str, bool, int, bool]]:
+    """(text, inside a marked article, link characters, in an element of running text) of each line; dropped ones are empty."""
+    out: list[tuple[str, bool, int, bool]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, str]] = []
     drop = main = anchor = 0
     loose = ""  # a dropped element whose end may be missing
+    solid = False
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(unescape("".join(text)).split()) if text else ""
-        out.append((line, main > 0, min(linked, len(line))))
+        out.append((line, main > 0, min(linked, len(line)), solid))
         text.clear()
         linked = 0
 
@@ -89,6 +95,7 @@ def lines(html: str) -> list[tuple[str, bool, int]]:
             continue
         if tag in _BLOCK:
             flush()
+            solid = tag in _SOLID and not closing or tag == "br" and solid
             if loose and (tag == loose or not closing or tag not in _LOOSE):
                 loose = ""
         if tag == "a":
@@ -117,28 +124,37 @@ def lines(html: str) -> list[tuple[str, bool, int]]:
     return out
 
 
+def bodies(found: list[tuple[str, int, bool]]) -> list[str]:
+    """The lines of every body of text among (line, weight, solid): from each surge, both ways, to where the sums dive."""
+    sums = [sum(weight for _, weight, _ in found[i : i + WINDOW]) for i in range(max(len(found) - WINDOW, 0) + 1)]
+    out, i, done = [], 0, 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j] >= DIVE:
+            j += 1
+        if j > i and max(sums[i:j]) >= SURGE:
+            begin, stop = max(i, done), min(j - 1 + WINDOW, len(found))
+            while not found[begin][2] and found[begin][1] < SCRAP:
+                begin += 1
+            while not found[stop - 1][2] and found[stop - 1][1] < SCRAP:
+                stop -= 1
+            out += [line for line, _, _ in found[begin:stop]]
+            done = stop
+        i = max(j, i + 1)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by one space."""
     if not html:
         return ""
     found = lines(html)
-    marked = any(inside and line for line, inside, _ in found)
-    kept = [line if inside or not marked else "" for line, inside, _ in found]
-    if marked:
-        return " ".join(line for line in kept if line)
-    # without a mark: lines that are mostly links are menus
-    kept = [line if 2 * links < len(line) or not links else "" for line, (_, _, links) in zip(kept, found)]
-    kept = [line for line in kept if line]
-    if not kept:
-        return ""
-    sizes = [len(line) for line in kept]
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    average = max(SURGE, sum(sizes) // (4 * len(sizes)))
-    if max(sums) < average:
-        return " ".join(kept)
-    begin = next(i for i, s in enumerate(sums) if s >= average)
-    stop = max(i for i, s in enumerate(sizes) if s >= SURGE // 2 or i == begin)
-    return " ".join(kept[begin : stop + 1])
+    article = [(line, len(line), solid) for line, inside, _, solid in found if line and inside]
+    if article:
+        return " ".join(line for line, _, _ in article)
+    # no mark: the lines of the whole page; those that are mostly links are menus
+    page = [(line, len(line) - links, solid) for line, _, links, solid in found if line and not (links and 2 * links >= len(line))]
+    return " ".join(bodies(page) or [line for line, _, _ in page])
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
