@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one per block element. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms and comments count as empty, by element and by class or id;
-where the page marks its article its lines are the text. On other pages text lengths are summed
-over sliding windows of lines: where a sum reaches ``SURGE`` there is a body of text, which reaches
+where the page marks its article and a window inside it surges, lines outside it do too, and
+those inside weigh ``MARKED`` times their length. On every page text lengths are summed over
+sliding windows of lines: where a sum reaches ``SURGE`` there is a body of text, which reaches
 both ways to where the sums fall below ``DIVE``. Every body is kept, in page order, with the
-short paragraphs and headings its windows take in. A page without a surge keeps all.
+short paragraphs and headings its windows take in. A page without a surge keeps its marked
+lines, or all if none are marked.
 
 Null, empty and text-free pages give the empty text. Each input row gives one row.
 """
@@ -26,6 +28,8 @@ from . import _text as T
 WINDOW, SURGE = 3, 80
 #: The characters in a window below which a body ends, and in a line below which it is cut from a body's edge unless it is a paragraph, heading or the like.
 DIVE, SCRAP = 40, 10
+#: How much more a character inside a marked article weighs.
+MARKED = 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "math", "object", "video", "audio", "canvas")}
@@ -149,12 +153,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found = lines(html)
-    article = [(line, len(line), solid) for line, inside, _, solid in found if line and inside]
-    if article:
-        return " ".join(line for line, _, _ in article)
-    # no mark: the lines of the whole page; those that are mostly links are menus
+    article = [(line, MARKED * len(line), solid) for line, inside, _, solid in found if line and inside]
+    if kept := bodies(article):
+        return " ".join(kept)
+    # no mark, or nothing surges inside it: the lines of the whole page; those that are mostly links are menus
     page = [(line, len(line) - links, solid) for line, _, links, solid in found if line and not (links and 2 * links >= len(line))]
-    return " ".join(bodies(page) or [line for line, _, _ in page])
+    return " ".join(bodies(page) or [line for line, _, _ in article or page])
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

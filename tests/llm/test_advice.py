@@ -17,3 +17,14 @@ def test_html_every_body_without_a_mark():
     listed = [_line(k, n) for k, n in enumerate([300] * 3 + [10] * 50 + [300] * 3)]
     got = html_extract.main_text("<body>" + "".join(f"<div>{x}</div>" for x in listed) + "</body>").split(" ")
     assert got[:3] == listed[:3] and got[-3:] == listed[-3:] and len(got) <= 10
+
+
+def test_html_marked_article_is_read_by_windows():
+    """Inside a mark the sums decide as well, and a mark without a surge does not hide the body beside it."""
+    text = [_line(k, 300) for k in range(6)]
+    counter = "".join(f"<div>{k}</div>" for k in range(10, 60))
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in text[:3]) + counter + "".join(f"<p>{x}</p>" for x in text[3:]) + "</article>"
+    got = html_extract.main_text(page).split(" ")
+    assert [x for x in got if len(x) > 2] == text and len(got) <= 10
+    assert html_extract.main_text("<article><p>Loading</p></article>" + "".join(f"<p>{x}</p>" for x in text)).endswith(" ".join(text))
+    assert html_extract.main_text("<article><p>Loading</p></article>") == "Loading"
