@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) are the protected entities. Terms that stand near an
-entity are candidates; how strongly a term reveals an entity is their pointwise mutual
-information, from co-occurrence counts over the whole corpus. A term whose information about
-an entity reaches a share of the entity's own information content (``DISCLOSURE``), seen in
-several different contexts (copies of one context count once), is sanitised wherever it stands
-in a document that holds the entity: removed if it all but names the entity (``REMOVAL``),
-else generalised.
-
-Null and empty texts have no spans. Each input row gives one row; rows of one id and one text
+Base spans (email, ip, card, phone) are the protected entities. Every other term of a text that
+holds an entity is a candidate; how strongly it reveals the entity is their pointwise mutual
+information over the distinct texts of the corpus (copies of a text count once), with the share
+of a term's texts that hold the entity drawn towards the entity's share of all texts by
+``PRIOR`` texts more, so entities and terms seen once count too, but less surely. A term whose
+information about an entity reaches a share of the entity's own information content
+(``DISCLOSURE``) is sanitised wherever it stands in a document that holds the entity: removed if
+it all but names the entity (``REMOVAL``), else generalised. A document that holds the term but
+not the entity is left as it is.
+
+Null and empty texts have no spans. Each input row gives one row; rows of one text
 get the same spans. Offsets are code points, end exclusive.
 """
 
@@ -27,10 +29,8 @@ from . import _text as T
 from .shared import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity whose terms are candidates.
-NEAR = 6
-#: Different contexts in which a term and an entity must stand together.
-SUPPORT = 3
+#: Texts by which the smoothed share of a term is drawn to the entity's share of all texts.
+PRIOR = 1.0
 DISCLOSURE, REMOVAL = 0.9, 0.98
 #: Bits of the filter that spares the corpus count most other words: its size is fixed.
 FILTER_BITS = 22
@@ -89,47 +89,38 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero((T.per_text(data == 64, offsets) > 0) | (digits >= 4))
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Candidate terms of each entity of a text, the context, and where else the terms stand in it."""
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The distinct entities of a text."""
     low = text.translate(_LOW)
-    words = [(m.start(), m.end()) for m in _TERM.finditer(low)]
-    inside, free = sorted((a, b) for _, a, b in spans), []
-    k = 0
-    for a, b in words:
+    return list(dict.fromkeys(f"{KINDS[kind]}:{low[a:b] if kind < 2 else _digits(low[a:b])}" for kind, a, b in spans))
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Each term of a text outside its entities, with every place as start times 2^32 plus end."""
+    low = text.translate(_LOW)
+    inside, k = sorted((a, b) for _, a, b in spans), 0
+    places: dict[str, list[int]] = {}
+    for m in _TERM.finditer(low):
+        a, b = m.span()
         while k < len(inside) and inside[k][1] <= a:
             k += 1
-        if k == len(inside) or b <= inside[k][0]:
-            free.append((a, b))
-    starts = [a for a, _ in free]
-    places: dict[str, list[str]] = {}
-    for a, b in free:
-        places.setdefault(low[a:b], []).append(f"{a}:{b}")
-    out, seen = [], set()
-    for kind, a, b in spans:
-        i = int(np.searchsorted(starts, a))
-        near = [low[x:y] for x, y in free[max(0, i - NEAR) : i + NEAR]]
-        context = hashlib.sha256(" ".join(near).encode()).digest()[:8]
-        value = low[a:b] if kind < 2 else _digits(low[a:b])
-        entity = f"{KINDS[kind]}:{value}"
-        for term in dict.fromkeys(near):
-            if 3 <= len(term) and _LETTER.search(term) and (entity, term) not in seen:
-                seen.add((entity, term))
-                out.append({"entity": entity, "term": term, "context": int.from_bytes(context, "little", signed=True), "places": places[term]})
-    return out
+        if (k == len(inside) or b <= inside[k][0]) and 3 <= b - a and _LETTER.search(m[0]):
+            places.setdefault(m[0], []).append(a << 32 | b)
+    return [{"term": term, "places": at} for term, at in places.items()]
 
 
-FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity: string, term: string, context: bigint, places: array<string>>>"
-_MENTIONS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("places", pa.list_(pa.string()))]))
+FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms array<struct<term: string, places: array<bigint>>>"
+_ENTITIES, _TERMS = pa.list_(pa.string()), pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.int64()))]))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base spans of each document and the terms near them, without the text."""
+    """Base spans and entities of each document and the places of its terms, without the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 n = part.num_rows
-                counts, base, near = np.zeros((4, n), np.int64), [""] * n, [[] for _ in range(n)]
+                counts, base, held, terms = np.zeros((4, n), np.int64), [""] * n, [[] for _ in range(n)], [[] for _ in range(n)]
                 column = part.column("text")
                 for i in _suspects(*T.buffers(column)).tolist():
                     text = column[i].as_py() or ""
@@ -138,9 +129,9 @@ def find(docs: DataFrame) -> DataFrame:
                         for k, _, _ in spans:
                             counts[k, i] += 1
                         base[i] = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-                        near[i] = mentions(text, spans)
-                columns = [part.column("doc_id"), part.column("text_hash"), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(near, _MENTIONS)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "mentions"])
+                        held[i], terms[i] = entities(text, spans), terms_of(text, spans)
+                columns = [part.column("doc_id"), part.column("text_hash"), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(held, _ENTITIES), pa.array(terms, _TERMS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "terms"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 
@@ -149,23 +140,39 @@ def term_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return T.hash_runs(data, starts, ends)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How many documents hold each of the given terms. A fixed-size filter drops other words early."""
+def _filter(rows: DataFrame, slots) -> np.ndarray:
+    """A bit filter of fixed size of the slots that slots() gives for each batch of rows."""
     mask = np.uint64((1 << FILTER_BITS) - 1)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = T.buffers(batch.column("term"))
-            slot = np.unique(term_hash(data, offsets[:-1], offsets[1:]) & mask).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot)], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(batch) & mask).astype(np.int64))], names=["slot"])
 
-    rows = terms.mapInArrow(slots, "slot long").distinct().toPandas()["slot"].to_numpy(np.int64)
     hit = np.zeros(1 << FILTER_BITS, bool)
-    hit[rows] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(hit))
+    hit[rows.mapInArrow(run, "slot long").distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    return np.packbits(hit)
+
+
+def _term_slots(batch: pa.RecordBatch) -> np.ndarray:
+    data, offsets = T.buffers(batch.column("term"))
+    return term_hash(data, offsets[:-1], offsets[1:])
+
+
+def _text_slots(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("text_hash").to_numpy().astype(np.uint64)
+
+
+def document_counts(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """How many distinct texts hold each of the given terms.
+
+    Two fixed-size filters: one drops other words early, one finds the texts that may have copies,
+    whose terms are kept apart by text; those of all other texts are summed at once."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    copied = found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_hash")
+    packed = docs.sparkSession.sparkContext.broadcast((_filter(terms, _term_slots), _filter(copied, _text_slots)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(packed.value).astype(bool)
+        table, copies = (np.unpackbits(x).astype(bool) for x in packed.value)
         for batch in batches:
             for part in T.slices(batch, "text"):
                 data, offsets = T.buffers(part.column("text"))
@@ -175,41 +182,52 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 chosen = np.flatnonzero(table[(keys & mask).astype(np.int64)])
                 pair = keys[chosen] ^ T.mix(doc[chosen].astype(np.uint64))
                 once = chosen[~T.repeated(pair)[1]]
-                _, first, count = np.unique(keys[once], return_index=True, return_counts=True)
+                text_hash = part.column("text_hash").to_numpy()
+                apart = copies[(text_hash.astype(np.uint64) & mask).astype(np.int64)][doc[once]]
+                single, several = once[~apart], once[apart]
+                _, first, count = np.unique(keys[single], return_index=True, return_counts=True)
                 raw = data.tobytes()
-                names = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in once[first].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(count.astype(np.int64))], names=["term", "n"])
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+                at = np.concatenate([single[first], several])
+                names = [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in at.tolist()]
+                whose = pa.array(text_hash[doc[at]], pa.int64(), mask=np.arange(at.size) < first.size)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), whose, pa.array(np.append(count, np.ones(several.size)).astype(np.int64))], names=["term", "text_hash", "n"])
+
+    texts = docs.select(F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
+    each = texts.mapInArrow(run, "term string, text_hash long, n long").groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    counted = each.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
     return terms.join(counted, "term")
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Terms that reveal an entity beyond the threshold, with the share of its information; None if there are none."""
-    pairs = found.where(F.size("mentions") > 0).select(F.inline("mentions"))
-    joint = written(pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("joint"), F.count(F.lit(1)).alias("together")).where(F.col("joint") >= SUPPORT), "joint")
-    if joint.isEmpty():
-        return None
-    total = found.count()
-    entities = found.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = document_counts(docs, joint.select("term").distinct())
-    whole = F.greatest(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(1e-9))
-    shared = F.log2(F.col("together") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    share = joint.join(entities, "entity").join(terms, "term").withColumn("share", F.least(shared / whole, F.lit(1.0)))
-    return share.where(F.col("share") >= DISCLOSURE).select("entity", "term", "share")
+def disclosures(docs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Terms of the texts that reveal an entity beyond the threshold, with the share of its information."""
+    total = F.lit(float(found.select("text_hash").distinct().count()))
+    held = texts.select("text_hash", F.explode("entities").alias("entity"))
+    sized = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entity")
+    terms = texts.select("text_hash", F.explode("terms.term").alias("term"))
+    terms = terms.join(document_counts(docs, found, terms.select("term").distinct()), "term")
+    whole = F.greatest(F.log2(total / F.col("n_entity")), F.lit(1e-9))
+    shared = lambda joint: F.log2((joint + PRIOR * F.col("n_entity") / total) / (F.col("n_term") + PRIOR) * total / F.col("n_entity")) / whole
+    # a pair can reach the threshold only if it would with every text of the rarer one shared
+    open_pairs = sized.join(terms, "text_hash").where(shared(F.least("n_entity", "n_term")) >= DISCLOSURE)
+    joint = open_pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("joint"))
+    return joint.select("entity", "term", F.least(shared(F.col("joint")), F.lit(1.0)).alias("share")).where(F.col("share") >= DISCLOSURE)
+
+
+def holding(found: DataFrame) -> DataFrame:
+    """The distinct texts that hold an entity."""
+    return found.where(F.size("entities") > 0).select("text_hash", "entities", "terms").dropDuplicates(["text_hash"])
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(doc_id, text_hash, terms): places of the terms to sanitise, as start:end:action, by start; None if there are none."""
-    shown = disclosures(docs, found)
-    if shown is None:
+    """(text_hash, terms): places of the terms to sanitise, with their action, by start; None if no text holds an entity."""
+    texts = written(holding(found), "holding")
+    if texts.isEmpty():
         return None
-    near = found.where(F.size("mentions") > 0).select("doc_id", "text_hash", F.inline("mentions"))
-    hits = near.join(shown, ["entity", "term"]).select("doc_id", "text_hash", F.explode(F.array_distinct("places")).alias("place"), "share")
-    once = hits.groupBy("doc_id", "text_hash", "place").agg(F.max("share").alias("share"))
-    part = F.split("place", ":")
-    item = F.struct(part[0].cast("long").alias("a"), part[1].cast("long").alias("b"), F.when(F.col("share") >= REMOVAL, "removed").otherwise("generalised").alias("action"))
-    return once.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(item)).alias("terms"))
+    shown = disclosures(docs, found, texts)
+    held = texts.select("text_hash", F.explode("entities").alias("entity")).join(shown, "entity").groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+    hits = texts.select("text_hash", F.inline("terms")).join(held, ["text_hash", "term"]).select("text_hash", F.explode("places").alias("place"), "share")
+    item = F.struct(F.shiftright("place", 32).alias("a"), (F.col("place") % (1 << 32)).alias("b"), F.when(F.col("share") >= REMOVAL, "removed").otherwise("generalised").alias("action"))
+    return written(hits.groupBy("text_hash").agg(F.array_sort(F.collect_list(item)).alias("terms")), "terms")
 
 
 def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -220,9 +238,9 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def report(docs: DataFrame) -> DataFrame:
     """op5's columns for every row."""
     found, terms = analyse(docs)
-    found = found.drop("mentions")
+    found = found.drop("entities", "terms")
     listed = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["a"], t["b"])), ",") if terms is not None else F.lit("")
-    rows = found.join(terms, ["doc_id", "text_hash"], "left") if terms is not None else found
+    rows = found.join(terms, "text_hash", "left") if terms is not None else found
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(listed != "", listed)).alias("spans"))
 
 
@@ -247,7 +265,7 @@ def sanitise(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
     key, extra, listed = "__text_hash", "__terms", terms is not None
     rows = docs
     if terms is not None:
-        rows = docs.withColumn(key, F.xxhash64(F.col(text).cast("string"))).join(terms.select("doc_id", F.col("text_hash").alias(key), F.col("terms").alias(extra)), ["doc_id", key], "left").select(*docs.columns, extra)
+        rows = docs.withColumn(key, F.xxhash64(F.col(text).cast("string"))).join(terms.select(F.col("text_hash").alias(key), F.col("terms").alias(extra)), key, "left").select(*docs.columns, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

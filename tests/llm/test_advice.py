@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import html_extract
+from cipherlake.llm import html_extract, pii
+from tests.llm.test_contracts import FILLER
 
 
 def _line(k: int, size: int) -> str:
@@ -28,3 +29,17 @@ def test_html_marked_article_is_read_by_windows():
     assert [x for x in got if len(x) > 2] == text and len(got) <= 10
     assert html_extract.main_text("<article><p>Loading</p></article>" + "".join(f"<p>{x}</p>" for x in text)).endswith(" ".join(text))
     assert html_extract.main_text("<article><p>Loading</p></article>") == "Loading"
+
+
+def _padded(k: int, text: str) -> str:
+    return text + " " + " ".join(f"{FILLER[(k + i) % 20]}" for i in range(20))
+
+
+def test_terms_of_rare_entities(spark):
+    """An entity in one text, or in its copies only, has disclosing terms; a copy does not make them surer."""
+    rows = [(k, _padded(k, f"row{k % 97} wrote")) for k in range(3000)]
+    rows += [(9000 + k, _padded(0, "Xanthippe wrote to x@y.example about")) for k in range(3)]
+    rows = [(k, f"{text} n{k if k < 9000 else 9000}") for k, text in rows]
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(spans[k] == "" for k in range(3000))
+    assert all("term:0:9" in spans[9000 + k].split(",") and "term:10:15" not in spans[9000 + k].split(",") for k in range(3))
