@@ -43,3 +43,13 @@ def test_terms_of_rare_entities(spark):
     spans = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(spans[k] == "" for k in range(3000))
     assert all("term:0:9" in spans[9000 + k].split(",") and "term:10:15" not in spans[9000 + k].split(",") for k in range(3))
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A disclosing term goes in every document that holds the entity, also far from it, and where the id is null."""
+    rows = [(k, _padded(k, f"wrote n{k}")) for k in range(400)]
+    rows += [(1000 + k, f"z{k} Xanthippe sent x@y.example") for k in range(6)]
+    rows += [(2000, "Xanthippe " + _padded(3, "") + " x@y.example"), (None, "x@y.example " + _padded(5, "") + " Xanthippe")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.sanitise(docs).collect():
+        assert "Xanthippe" not in r["text"] and "x@y" not in r["text"]
