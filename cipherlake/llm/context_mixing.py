@@ -2,8 +2,8 @@
 
 A text is its lower-cased words and one end mark. Three predictors make up a token's probability:
 
-* History: a fixed-size hashed table gives the token that most often followed the two tokens
-  before. A flag says whether it comes true; the flag's probability depends on how often it was
+* History: exact counts of every token after every two tokens give the one that most often
+  followed the two before. A flag says whether it comes true; the flag's probability depends on how often it was
   seen and how many predictions in a row have just come true, so copied passages cost little.
 * Counts: else the token's exact count over all training tokens, less a discount.
 * Spelling: the discounted mass goes to the token's bytes, bit by bit. Five hashed contexts (the
@@ -16,10 +16,11 @@ The score is the base-10 logarithm of the product; minus its value over log10(2)
 does not ask of it.
 
 Training covers all training rows (crc32 of the id modulo 7 is not 2). Token counts are one
-aggregation, and each distinct token is spelled once; context counts and the history table are merged from every task; weights are refined
+aggregation, and each distinct token is spelled once; context counts are merged from every task; weights are refined
 online, by damped Newton steps with the token at hand left out of the counts, in every task over
-its share of the distinct tokens, and averaged. Tables have a fixed number of slots, so what is
-broadcast does not grow with the corpus. A training row's own occurrence does not count in its
+its share of the distinct tokens, and averaged. Bit contexts have a fixed number of slots, so
+what is broadcast does not grow with the corpus; history counts are grouped by context in a number
+of buckets that does, and each slice of texts is joined with the answers for its own contexts. A training row's own occurrence does not count in its
 history.
 
 The base score adds add-one unigram probabilities of tokens from exact counts. Tokens above a
@@ -46,8 +47,10 @@ FOLDS, HELD = 7, 2
 HEAVY_SHARE = 5e-7
 #: Bytes of text whose equal tokens are scored together.
 SLICE = 3 << 20
-#: Bits of each context's table (one to four bytes, the word so far), and of the history table.
-BITS, HISTORY = (16, 20, 20, 21, 22), 21
+#: Bits of each context's table (one to four bytes, the word so far).
+BITS = (16, 20, 20, 21, 22)
+#: Bytes of text whose history contexts share a bucket, and buckets at least.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 WORD = len(BITS) - 1
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
 #: Slots that travel as one row, and tasks that gather context counts at most.
@@ -203,21 +206,26 @@ class Tokens:
         return [raw[a : a + n] for a, n in zip(self.starts[chosen].tolist(), self.lengths[chosen].tolist())]
 
     def history(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token: the history slot of the two before it, and its own 24-bit mark."""
+        """Of each token: the hash of the two before it, and its own 32-bit mark."""
         size = self.hash.size
         before, two = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         before[1:] = np.where(self.doc[1:] == self.doc[:-1], self.hash[:-1], np.uint64(0))
         two[2:] = np.where(self.doc[2:] == self.doc[:-2], self.hash[:-2], np.uint64(0))
-        return (T.mix(before * _SALT[0] + two * _SALT[1]) >> np.uint64(64 - HISTORY)).astype(np.int64), (self.hash >> np.uint64(40)).astype(np.int64) | 1
+        return T.mix(before * _SALT[0] + two * _SALT[1]), (self.hash >> np.uint64(32)).astype(np.uint32)
 
-    def predictions(self, table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def predictions(self, known: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: whether a prediction is made, whether it comes true, and the flag's gate.
 
+        known: contexts in order, the mark each predicts and how often it followed.
         own: whether each text is a training text, whose own occurrence does not count."""
-        slot, mark = self.history()
-        seen = table[slot].astype(np.int64)
-        true = (seen >> 8) == mark
-        times = (seen & 255) - (true & own[self.doc])
+        context, mark = self.history()
+        keys, marks, counts = known
+        if not keys.size:
+            keys, marks, counts = np.zeros(1, np.uint64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
+        at = np.minimum(np.searchsorted(keys, context), keys.size - 1)
+        found = keys[at] == context
+        true = found & (marks[at] == mark)
+        times = np.where(found, counts[at], 0) - (true & own[self.doc])
         made = times > 0
         hit = made & true
         run, so = np.zeros(hit.size, np.int64), np.ones(hit.size, bool)
@@ -251,10 +259,6 @@ def _opened(name: str, packed: bytes, build):
     return _OPENED[name][1]
 
 
-def _history(shared) -> np.ndarray:
-    return _opened("history", shared.value, lambda raw: np.frombuffer(raw, np.uint32))
-
-
 def _mixer(shared, weights: np.ndarray) -> Mixer:
     mixer = _opened("mixer", shared.value, lambda raw: Mixer(np.frombuffer(raw, np.uint16).reshape(2, -1), weights))
     mixer.weights = weights.astype(np.float32)
@@ -310,17 +314,6 @@ def _add(parts: list[np.ndarray]) -> np.ndarray:
     return np.rint(total * np.minimum(1, 65535 / np.maximum(total.max(0), 1))).astype(np.uint16)
 
 
-def _vote(parts: list[np.ndarray]) -> np.ndarray:
-    """Of each slot the mark with most votes; equal marks add up. Ties go to the greater mark, so order does not matter much."""
-    best = np.zeros(parts[0].size, np.uint32)
-    for p in sorted(parts, key=lambda x: x.tobytes()):
-        mark, times, other, more = best >> 8, best & 255, p >> 8, p & 255
-        same = mark == other
-        joined = (mark << 8) | np.minimum(times + more, 255)
-        best = np.where(same, joined, np.where((more > times) | ((more == times) & (other > mark)), p, best)).astype(np.uint32)
-    return best
-
-
 def context_counts(types: DataFrame) -> np.ndarray:
     """uint16[2, slots]: zeros and ones that the distinct tokens show in each slot."""
     size = int(OFFSET[-1])
@@ -344,24 +337,105 @@ def context_counts(types: DataFrame) -> np.ndarray:
     return _merged(types.select("token").coalesce(TASKS).mapInArrow(run, "block long, salt int, counts binary"), _add, np.zeros((2, size), np.uint16))
 
 
-def history_table(training: DataFrame) -> np.ndarray:
-    """uint32[slots]: the mark of the token that follows most often, and how often (up to 255)."""
+def sliced(docs: DataFrame) -> DataFrame:
+    """docs with the slice of texts that each row is scored in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << HISTORY, np.uint32)
+        at = TaskContext.get().partitionId() << 20
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
-                slot, mark = Tokens(*T.buffers(part.column("text"))).history()
-                pair, times = np.unique(slot << 24 | mark, return_counts=True)
-                order = np.lexsort((pair & 0xFFFFFF, times, pair >> 24))
-                last = np.append((pair[order][1:] >> 24) != (pair[order][:-1] >> 24), True) if order.size else order
-                top = order[last]
-                new = np.zeros(1 << HISTORY, np.uint32)
-                new[pair[top] >> 24] = ((pair[top] & 0xFFFFFF) << 8 | np.minimum(times[top], 255)).astype(np.uint32)
-                table = _vote([table, new])
-        yield from _blocks(table)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, at)), *part.columns], names=["slice", *part.schema.names])
+                at += 1
+
+    return docs.mapInArrow(run, "slice long, doc_id long, held_out boolean, text string")
+
+
+ANSWERS = "bucket long, slice long, given binary, mark binary, n binary"
+
+
+def _planes(context: np.ndarray) -> bytes:
+    """Contexts in order, as differences and byte by byte, so that leading zeros take no room in a shuffle."""
+    return np.diff(context, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _contexts(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+
 
-    return _merged(training.select("text").mapInArrow(run, "block long, salt int, counts binary"), _vote, np.zeros(1 << HISTORY, np.uint32))
+def bucket_bits(slices: DataFrame) -> int:
+    """The logarithm of the number of buckets for so many bytes."""
+    size = slices.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.ceil(np.log2(max(LEAST_BUCKETS, size / BUCKET_BYTES))))
+
+
+def history(slices: DataFrame, bits: int) -> DataFrame:
+    """Of the contexts of each slice and bucket in order: whether there is an answer, and if so the token that follows most often in all training texts, and how often.
+
+    A context seen once in all is left out of the answers to the training text that has it, where it predicts nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("slice").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                t = Tokens(*T.buffers(part.column("text")))
+                own = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
+                context, mark = t.history()
+                order = np.lexsort((mark, context))
+                context, mark, seen = context[order], mark[order], own[t.doc][order]
+                first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (mark[1:] != mark[:-1])))
+                n = np.add.reduceat(seen.astype(np.int64), first).astype(np.uint32)
+                context, mark = context[first], mark[first]
+                bucket = (context >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), bucket.size)
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                packed = [pa.array([pack(x[i:j]) for i, j in spans], pa.binary()) for x, pack in ((context, _planes), (mark, np.ndarray.tobytes), (n, np.ndarray.tobytes))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(spans), of[a])), *packed], names=["bucket", "slice", "context", "mark", "n"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        contexts = [_contexts(x) for x in rows.column("context").to_pylist()]
+        mark, n = (np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column(name).to_pylist()]) for name in ("mark", "n"))
+        slices, row = np.unique(rows.column("slice").to_numpy(), return_inverse=True)
+        row, context = np.repeat(row, [x.size for x in contexts]), np.concatenate(contexts)
+        # a slice may have come in parts: its contexts together, in order
+        together = np.lexsort((context, row))
+        row, context, mark, n = row[together], context[together], mark[together], n[together]
+        order = np.lexsort((mark, context))
+        c, m = context[order], mark[order]
+        new = np.append(True, c[1:] != c[:-1])
+        pair = np.flatnonzero(new | np.append(True, m[1:] != m[:-1]))
+        times, kind = np.add.reduceat(n[order].astype(np.int64), pair), np.cumsum(new) - 1
+        kind_of_row = np.empty(kind.size, np.int64)
+        kind_of_row[order] = kind
+        best = np.lexsort((m[pair], times, kind[pair]))
+        best = best[np.append(np.diff(kind[pair][best]) > 0, True)]
+        total = np.bincount(kind[pair], times)
+        here = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (context[1:] != context[:-1])))
+        k, mine = kind_of_row[here], np.add.reduceat(n.astype(np.int64), here)
+        top = times[best]
+        kept = (top[k] > 0) & ~((total[k] == 1) & (mine > 0))
+        cuts = np.searchsorted(row[here], np.arange(slices.size + 1)).tolist()
+        best = pair[best]
+        given, marks, often = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            chosen = k[a:b][kept[a:b]]
+            given.append(np.packbits(kept[a:b]).tobytes())
+            marks.append(m[best][chosen].tobytes())
+            often.append(top[chosen].tobytes())
+        return pa.Table.from_arrays([pa.array(np.full(slices.size, rows.column("bucket")[0].as_py())), pa.array(slices), *(pa.array(x, pa.binary()) for x in (given, marks, often))], names=["bucket", "slice", "given", "mark", "n"])
+
+    return slices.mapInArrow(run, "bucket long, slice long, context binary, mark binary, n binary").groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def known(answers: pa.Table, context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answers to a slice of these contexts: contexts in order, marks and counts."""
+    keys = np.unique(context)
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    answers = answers.sort_by("bucket")
+    given = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(size)) for x, size in zip(answers.column("given").to_pylist(), np.bincount(bucket)[np.unique(bucket)].tolist(), strict=True)]
+    chosen = np.concatenate(given).astype(bool)
+    mark, n = (np.frombuffer(b"".join(answers.column(name).to_pylist()), kind) for name, kind in (("mark", np.uint32), ("n", np.int64)))
+    return keys[chosen], mark, n
 
 
 def learn_weights(types: DataFrame, tables) -> np.ndarray:
@@ -401,48 +475,45 @@ def spell(types: DataFrame, tables, weights: np.ndarray) -> DataFrame:
 SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, tries array<int>, hits array<int>, rare array<struct<token: binary, uses: bigint>>"
 
 
-def score_rows(docs: DataFrame, history, heavy, total: int, kinds: int, discount: float) -> DataFrame:
+def score_rows(slices: DataFrame, bits: int, heavy, total: int, kinds: int, discount: float) -> DataFrame:
     """Of each row: the scores of heavy tokens, predictions by gate, and its other tokens.
 
     ``uses`` of a token is how often the text has it, times 2^32, plus how often no prediction of it came true."""
     scale = np.log10(max(total + kinds + 1, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+    def run(part: pa.Table, theirs: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
         keys, counts = heavy.value
-        for batch in batches:
-            for part in T.slices(batch, "text", SLICE):
-                data, offsets = T.buffers(part.column("text"))
-                t = Tokens(data, offsets)
-                t.gather()
-                held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-                made, hit, gate = t.predictions(_history(history), ~held)
-                cell = t.doc * GATES + gate
-                by_gate = [np.bincount(cell[chosen], minlength=t.n * GATES).astype(np.int32) for chosen in (made, hit)]
-                gates = [pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * GATES), pa.array(x)) for x in by_gate]
-                where = np.minimum(np.searchsorted(keys, t.keys), max(keys.size - 1, 0))
-                is_heavy = keys[where] == t.keys if keys.size else np.zeros(t.keys.size, bool)
-                count = np.where(is_heavy, counts[where] if keys.size else 0, 0)
-                base = np.where(is_heavy, np.log10(count + 1.0) - scale, 0.0)
-                own = np.where(is_heavy, np.log10(np.maximum(count - discount, 1e-9) / max(total, 1)), 0.0)
-                mine = np.bincount(t.doc, np.where(hit, 0, own[t.inverse]), t.n)
-                base = np.bincount(t.doc, base[t.inverse], t.n)
-                n_known = np.bincount(t.doc, is_heavy[t.inverse], t.n).astype(np.int64)
-                n_tokens = np.bincount(t.doc, minlength=t.n).astype(np.int64)
-                other = np.flatnonzero(~is_heavy[t.inverse])
-                pair, back, times = np.unique(t.doc[other].astype(np.int64) * t.keys.size + t.inverse[other], return_inverse=True, return_counts=True)
-                uses = (times.astype(np.int64) << 32) + np.bincount(back, ~hit[other], pair.size).astype(np.int64)
-                kind = pair % t.keys.size
-                named = np.unique(kind)
-                names = pa.array(t.names(named), pa.binary()).take(pa.array(np.searchsorted(named, kind)))
-                items = pa.StructArray.from_arrays([names, pa.array(uses)], names=["token", "uses"])
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // t.keys.size, np.arange(t.n + 1)).astype(np.int32)), items)
-                rows = np.arange(row, row + t.n)
-                row += t.n
-                columns = [pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), *gates, rare]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "tries", "hits", "rare"])
-
-    return docs.mapInArrow(run, SCORED)
+        data, offsets = T.buffers(part.column("text"))
+        t = Tokens(data, offsets)
+        t.gather()
+        held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
+        made, hit, gate = t.predictions(known(theirs, t.history()[0], bits), ~held)
+        cell = t.doc * GATES + gate
+        by_gate = [np.bincount(cell[chosen], minlength=t.n * GATES).astype(np.int32) for chosen in (made, hit)]
+        gates = [pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * GATES), pa.array(x)) for x in by_gate]
+        where = np.minimum(np.searchsorted(keys, t.keys), max(keys.size - 1, 0))
+        is_heavy = keys[where] == t.keys if keys.size else np.zeros(t.keys.size, bool)
+        count = np.where(is_heavy, counts[where] if keys.size else 0, 0)
+        base = np.where(is_heavy, np.log10(count + 1.0) - scale, 0.0)
+        own = np.where(is_heavy, np.log10(np.maximum(count - discount, 1e-9) / max(total, 1)), 0.0)
+        mine = np.bincount(t.doc, np.where(hit, 0, own[t.inverse]), t.n)
+        base = np.bincount(t.doc, base[t.inverse], t.n)
+        n_known = np.bincount(t.doc, is_heavy[t.inverse], t.n).astype(np.int64)
+        n_tokens = np.bincount(t.doc, minlength=t.n).astype(np.int64)
+        other = np.flatnonzero(~is_heavy[t.inverse])
+        pair, back, times = np.unique(t.doc[other].astype(np.int64) * t.keys.size + t.inverse[other], return_inverse=True, return_counts=True)
+        uses = (times.astype(np.int64) << 32) + np.bincount(back, ~hit[other], pair.size).astype(np.int64)
+        kind = pair % t.keys.size
+        named = np.unique(kind)
+        names = pa.array(t.names(named), pa.binary()).take(pa.array(np.searchsorted(named, kind)))
+        items = pa.StructArray.from_arrays([names, pa.array(uses)], names=["token", "uses"])
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // t.keys.size, np.arange(t.n + 1)).astype(np.int32)), items)
+        rows = (part.column("slice").to_numpy() << 24) + np.arange(t.n)
+        columns = [pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), *gates, rare]
+        return pa.Table.from_arrays(columns, names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "tries", "hits", "rare"])
+
+    return slices.groupBy("slice").cogroup(history(slices, bits).groupBy("slice")).applyInArrow(run, SCORED)
 
 
 def learn_gates(scored: DataFrame) -> np.ndarray:
@@ -470,8 +541,8 @@ def score(docs: DataFrame) -> DataFrame:
     heavy = share((keys[order], frequent["n"].to_numpy(np.int64)[order]))
     tables = share(_packed(context_counts(training)))
     spelled = written(spell(types.where(F.col("n") < least), tables, learn_weights(training, tables)), "spelled")
-    history = share(_packed(history_table(docs.where(~F.col("held_out")))))
-    scored = written(score_rows(docs, history, heavy, total, kinds, discount), "scored")
+    slices = written(sliced(docs), "slices")
+    scored = written(score_rows(slices, bucket_bits(slices), heavy, total, kinds, discount), "scored")
     gates = learn_gates(scored)
     n, times, open_times = F.col("n"), F.shiftright("uses", 32), F.col("uses") % (1 << 32)
     scale, whole = float(np.log10(max(total + kinds + 1, 1))), float(max(total, 1))
