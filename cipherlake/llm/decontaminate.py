@@ -9,7 +9,8 @@ are broadcast up to ``BROADCAST_WINDOWS``, beyond which pairs are joined by shuf
 against the documents fetched again by id.
 
 Null and empty texts have no words; null and word-free items have no windows. Each document row
-gives one row; rows that share an id share their hits.
+gives one row; rows that share an id share their hits, and rows without an id have those of
+their own text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return listed.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), size).alias("window")).distinct()
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """The id of a document; where it is null, a hash of the text."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text.cast("string")))
+
+
 def _pairs(w: Column) -> Column:
     """(place, first, second) of each word pair of w; a lone word pairs with the empty word."""
     return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(i.alias("at"), F.element_at(w, i).alias("first"), F.element_at(w, i + 1).alias("second")))).otherwise(
@@ -85,23 +91,25 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: in
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hits = occurrences(docs, items.select("item_id", "text"), size, limit)
+    docs = docs.withColumn("key", _key(F.col("doc_id"), F.col("text")))
+    hits = occurrences(docs.select(F.col("key").alias("doc_id"), "text"), items.select("item_id", "text"), size, limit)
     # one row for each document and start, with the longest window and the items there
     starts = hits.groupBy("doc_id", "pos").agg(F.max("len").alias("len"), F.collect_set("item_id").alias("items"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1))))
     per = starts.groupBy("doc_id").agg(F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    rows = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    per = per.select("doc_id", "n_hit", F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    rows = docs.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    per = per.select(F.col("doc_id").alias("key"), "n_hit", F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(per, "doc_id", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("long").alias("n_items"), F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.join(per, "key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("long").alias("n_items"), F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    leaked = occurrences(narrow, items.select("item_id", "text")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    key = "__key"
+    narrow = docs.select(_key(F.col("doc_id"), F.col("text")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    leaked = occurrences(narrow, items.select("item_id", "text")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, _key(F.col("doc_id"), F.col("text"))).join(leaked, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

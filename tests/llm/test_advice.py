@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cipherlake.llm import _text as T
-from cipherlake.llm import context_mixing, html_extract, pii
+from cipherlake.llm import context_mixing, decontaminate, html_extract, pii
 from cipherlake.llm.shared import written
-from tests.llm.test_contracts import FILLER
+from tests.llm.test_contracts import FILLER, ITEM
 
 
 def _line(k: int, size: int) -> str:
@@ -85,3 +85,13 @@ def test_history_counts_are_exact(spark):
     # both followers of "p q" came more than 255 times or nearly so; the more frequent one costs less
     scored = {r["text"]: r for r in context_mixing.score(docs.select("doc_id", "text")).join(docs.select("doc_id", "text"), "doc_id").collect()}
     assert scored["p q right"]["score"] > scored["p q left"]["score"]
+
+
+def test_leaks_without_an_id(spark):
+    """A row without an id has the hits of its own text, and those alone."""
+    rows = [(None, f"x {ITEM} y"), (None, "nothing of the sort"), (None, None), (1, ITEM), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = sorted((r["n_words"], r["n_hit"] > 0, r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).where("doc_id is null").collect())
+    assert got == [(0, False, 0, False), (4, False, 0, False), (17, True, 1, True)]
+    assert sorted(str(r["text"]) for r in decontaminate.remove(docs, bench).collect()) == ["None", "clean", "nothing of the sort"]
