@@ -58,12 +58,16 @@ def reviewed(results: DataFrame, allowances: DataFrame) -> DataFrame:
     return results.join(allowed, keys, "left_anti")
 
 
-def closure(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, node): everything reachable over (src, dst), by a recursive query that ends with the longest path."""
-    edges.createOrReplaceTempView("_closure_edges")
-    roots.createOrReplaceTempView("_closure_roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE reach(root, node, depth) MAX RECURSION LEVEL {rounds} AS (
-          SELECT node, node, 0 FROM _closure_roots
-          UNION ALL SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN _closure_edges e ON e.src = r.node WHERE r.depth < {rounds - 2})
-        SELECT DISTINCT root, node FROM reach""")
+def closure(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(root, node): everything reachable over (src, dst), cycles too. Runs at once, until a round finds nothing new; more than ``rounds`` is an error."""
+    reach = new = roots.select(F.col("node").alias("root"), "node").distinct().localCheckpoint()
+    done = 0
+    while not new.isEmpty():
+        if rounds is not None and done > rounds:
+            raise ValueError(f"nodes further away than {rounds} edges")
+        step = new.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        known = reach.select(F.col("root").alias("r"), F.col("node").alias("n"))
+        new = step.join(known, F.col("root").eqNullSafe(F.col("r")) & F.col("node").eqNullSafe(F.col("n")), "left_anti").localCheckpoint()
+        reach = reach.union(new).localCheckpoint()
+        done += 1
+    return reach

@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pytest
 from pyspark.sql import functions as F
 
 from cipherlake.llm import _text as T
 from cipherlake.llm import context_mixing, decontaminate, html_extract, pii
 from cipherlake.llm.shared import written
+from cipherlake.operators import diff
 from tests.llm.test_contracts import FILLER, ITEM
 
 
@@ -95,3 +97,12 @@ def test_leaks_without_an_id(spark):
     got = sorted((r["n_words"], r["n_hit"] > 0, r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).where("doc_id is null").collect())
     assert got == [(0, False, 0, False), (4, False, 0, False), (17, True, 1, True)]
     assert sorted(str(r["text"]) for r in decontaminate.remove(docs, bench).collect()) == ["None", "clean", "nothing of the sort"]
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    """Nodes beyond the old depth of 62 are reached; a bound that is too small is an error."""
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(70)] + [("70", "68")], "src string, dst string")
+    roots = spark.createDataFrame([("0",)], "node string")
+    assert sorted(int(r["node"]) for r in diff.closure(edges, roots).collect()) == list(range(71))
+    with pytest.raises(ValueError):
+        diff.closure(edges, roots, 5)
