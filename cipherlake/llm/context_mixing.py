@@ -1,40 +1,46 @@
 """Language-model scoring by online logistic context mixing over bits.
 
-A text is its lower-cased words and one end mark. Three predictors make up a token's probability:
-
-* History: exact counts of every token after every two tokens give the one that most often
-  followed the two before. A flag says whether it comes true; the flag's probability depends on how often it was
-  seen and how many predictions in a row have just come true, so copied passages cost little.
-* Counts: else the token's exact count over all training tokens, less a discount.
-* Spelling: the discounted mass goes to the token's bytes, bit by bit. Five hashed contexts (the
-  last one to four bytes, and the whole word so far) keep counts of zeros and ones; their
-  log-odds are summed with weights chosen by a gate (how well the word so far is known, the place
-  in the word) and each context's own confidence. Each distinct training token teaches them once.
-
-The score is the base-10 logarithm of the product; minus its value over log10(2) and the bytes
-(one at least) is bits per byte. A word that training never saw pays for its spelling, which the base score
-does not ask of it.
-
-Training covers all training rows (crc32 of the id modulo 7 is not 2). Token counts are one
-aggregation, and each distinct token is spelled once; context counts are merged from every task; weights are refined
-online, by damped Newton steps with the token at hand left out of the counts, in every task over
-its share of the distinct tokens, and averaged. Bit contexts have a fixed number of slots, so
-what is broadcast does not grow with the corpus; history counts are grouped by context in a number
-of buckets that does, and each slice of texts is joined with the answers for its own contexts. A training row's own occurrence does not count in its
-history.
-
-The base score adds add-one unigram probabilities of tokens from exact counts. Tokens above a
-share of all tokens, a number bounded by that share, are looked up in a broadcast table; the
-others are joined. Null and empty texts are one end mark. Each input row gives one row.
+A text is its lower-cased words and one end mark, and these are a sequence of bits: for each
+token one bit says whether training knows it; a known token is the ``CODE`` bits of its word code
+(a class by its last two bytes, then bits of its hash), a new one the bits of its bytes. Every bit
+is predicted by several contexts whose log-odds are summed with gated weights:
+
+* the bits of the code so far, from exact counts of all training tokens;
+* the same with the class of the token before, with the classes of the two before, and with the
+  token before, hashed, for the bits of the class;
+* the token that most often followed the two tokens before, from exact counts of every such
+  context in all training texts: it foretells each bit as long as it agrees with those before.
+
+Weights are refined online while a text is read: each text starts from ``first_weights`` and after
+32, 128, 512, ... tokens takes a damped Newton step on what it has just read, so a token is always
+scored with weights of earlier ones only. The gate is the part of the code and how far the
+foretold token has come true of late. Words that share a whole code are told apart by their exact
+counts. New words are spelled by byte contexts (the last one to four bytes, the word so far),
+taught by the words that training has once; their weights are refined online over these words.
+
+The score is the base-10 logarithm of the product of all bits; minus its value over log10(2) and
+the bytes (one at least) is bits per byte.
+
+Training covers all training rows (crc32 of the id modulo 7 is not 2; a null id is training).
+Counts of tokens and of contexts grow with the corpus and are exact, but for equal 64-bit hashes of
+words and equal hashes of contexts, which get 12 bits more than there are tokens. Texts are cut
+into slices; each slice sends its keys, sorted, to buckets by hash and gets the counts back, so no
+table that grows is broadcast or joined row by row. What is broadcast has a fixed size (some
+30 MB). A training row's own occurrence does not count in its history. Sums are of integers and
+weights belong to texts or hash buckets, so scores do not depend on how rows fall into tasks.
+
+The base score adds add-one unigram probabilities of tokens from exact counts. Null and empty
+texts are one end mark. Each input row gives one row, equal rows equal ones; an empty table none.
+Other columns do not matter.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +49,34 @@ from . import _text as T
 from .shared import written
 
 FOLDS, HELD = 7, 2
-#: Tokens with at least this share of all tokens are broadcast: 2,000,000 at most, 16 bytes each.
-HEAVY_SHARE = 5e-7
-#: Bytes of text whose equal tokens are scored together.
-SLICE = 3 << 20
-#: Bits of each context's table (one to four bytes, the word so far).
-BITS = (16, 20, 20, 21, 22)
-#: Bytes of text whose history contexts share a bucket, and buckets at least.
+#: Bits of a word code, and those of its class among them.
+CODE, CLASS = 20, 8
+#: Bits of the hashed contexts of a class: the class before, the two before, the token before.
+CONTEXTS = (8, 10, 12)
+#: What a class context is drawn to the counts without it by, and the least mass of a code.
+STRENGTH, LEAST_MASS = 4.0, 1e-3
+#: Gates: parts of the code (first bit of each) and states of the foretold token (none, just come up, come true before).
+PARTS, STATES = (0, CLASS, CODE - 6), 3
+#: Positions in a text at which weights are refined: the first, then each four times as far.
+FIRST_STEP, DAMPING = 32, 30.0
+#: Trust in a foretold token, by how often it followed (once, twice, more) and how many of the last came true (0 to 3).
+TRUST = np.array([[0.25, 0.85, 0.97, 0.99], [0.3, 0.85, 0.97, 0.99], [0.35, 0.85, 0.97, 0.99]])
+#: Texts by which the share of new words in a text is drawn to that of the corpus.
+NEW_PRIOR = 20.0
+#: Bytes of text in a slice, and bytes of text whose keys share a bucket, and buckets at least.
+SLICE = 4 << 20
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+
+#: Bits of each spelling context's table (one to four bytes, the word so far).
+BITS = (16, 18, 18, 18, 18)
 WORD = len(BITS) - 1
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
-#: Slots that travel as one row, and tasks that gather context counts at most.
-BLOCK, TASKS = 1 << 16, 256
+#: Slots that travel as one row, and tables that are added up at once.
+BLOCK, FAN = 1 << 16, 64
 BUCKETS, PLACES, STEP = 8, 4, 1 << 14
 K = len(BITS)
 PRIOR, CHUNK = 0.4, 1 << 16
 SPACE, END = 0x20, 0x0A
-GATES = 16
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _END_HASH = T.hash_runs(np.array([END], np.uint8), np.array([0]), np.array([1]))[0]
 
@@ -182,58 +199,48 @@ def first_weights() -> np.ndarray:
 
 
 class Tokens:
-    """The tokens of a slice of texts in order, and equal ones together."""
+    """The tokens of a slice of texts in order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.n = offsets.size - 1
         low = T.LOWER[data]
         starts, ends, doc = T.runs(~T.SPACE[low], offsets)
         keys = np.concatenate([T.hash_runs(low[a:b], starts[i:j] - a, ends[i:j] - a) for i, j, a, b in _parts(starts, ends)] or [np.zeros(0, np.uint64)])
-        order = np.argsort(np.concatenate([doc, np.arange(self.n)]), kind="stable")  # each text's words, then its end
         self.data = np.append(low, np.uint8(END))
-        self.doc = np.concatenate([doc, np.arange(self.n)])[order]
-        self.hash = np.concatenate([keys, np.full(self.n, _END_HASH)])[order]
-        self.starts = np.concatenate([starts, np.full(self.n, low.size)])[order]
-        self.lengths = np.concatenate([ends - starts, np.ones(self.n, np.int64)])[order]
-
-    def gather(self) -> None:
-        """Put equal tokens together."""
-        self.keys, first, self.inverse = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.starts, self.lengths = self.starts[first], self.lengths[first]
-
-    def names(self, chosen: np.ndarray) -> list[bytes]:
-        raw = self.data.tobytes()
-        return [raw[a : a + n] for a, n in zip(self.starts[chosen].tolist(), self.lengths[chosen].tolist())]
-
-    def history(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token: the hash of the two before it, and its own 32-bit mark."""
-        size = self.hash.size
-        before, two = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        before[1:] = np.where(self.doc[1:] == self.doc[:-1], self.hash[:-1], np.uint64(0))
-        two[2:] = np.where(self.doc[2:] == self.doc[:-2], self.hash[:-2], np.uint64(0))
-        return T.mix(before * _SALT[0] + two * _SALT[1]), (self.hash >> np.uint64(32)).astype(np.uint32)
-
-    def predictions(self, known: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: whether a prediction is made, whether it comes true, and the flag's gate.
-
-        known: contexts in order, the mark each predicts and how often it followed.
-        own: whether each text is a training text, whose own occurrence does not count."""
-        context, mark = self.history()
-        keys, marks, counts = known
-        if not keys.size:
-            keys, marks, counts = np.zeros(1, np.uint64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
-        at = np.minimum(np.searchsorted(keys, context), keys.size - 1)
-        found = keys[at] == context
-        true = found & (marks[at] == mark)
-        times = np.where(found, counts[at], 0) - (true & own[self.doc])
-        made = times > 0
-        hit = made & true
-        run, so = np.zeros(hit.size, np.int64), np.ones(hit.size, bool)
-        for back in (1, 2, 3):
-            so[back:] &= hit[:-back] & (self.doc[back:] == self.doc[:-back])
-            so[:back] = False
-            run += so
-        return made, hit, np.minimum(np.log2(np.maximum(times, 1)), 3).astype(np.int64) * 4 + run
+        # each text's words, then its end: a word moves on by one for each text before its own
+        at = np.arange(doc.size) + doc
+        size = doc.size + self.n
+        self.doc = np.zeros(size, np.int64)
+        is_end = np.ones(size, bool)
+        is_end[at] = False
+        self.doc[at], self.doc[is_end] = doc, np.arange(self.n)
+        self.hash = np.full(size, _END_HASH)
+        self.hash[at] = keys
+        self.starts, self.lengths = np.full(size, low.size), np.ones(size, np.int64)
+        self.starts[at], self.lengths[at] = starts, ends - starts
+        self.count = np.bincount(self.doc, minlength=self.n)
+        self.place = np.arange(size) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        last = self.data[self.starts + self.lengths - 1].astype(np.uint64)
+        other = np.where(self.lengths > 1, self.data[np.maximum(self.starts + self.lengths - 2, 0)], 0).astype(np.uint64)
+        self.kind = (((last * np.uint64(256) + other + np.uint64(1)) * _SALT[0]) >> np.uint64(64 - CLASS)).astype(np.int64)
+        self.code = self.kind << (CODE - CLASS) | (self.hash >> np.uint64(64 - CODE + CLASS)).astype(np.int64)
+
+    def before(self, values: np.ndarray, back: int) -> np.ndarray:
+        """The value so many tokens earlier in the same text, else 0."""
+        out = np.zeros_like(values)
+        out[back:] = values[:-back]
+        out[self.place < back] = 0
+        return out
+
+    def contexts(self) -> list[np.ndarray]:
+        """The hashed contexts of each token's class."""
+        one, two = (self.before(self.kind + 1, back).astype(np.uint64) for back in (1, 2))
+        mixed = (one, one * np.uint64(257) + two, self.before(self.hash, 1))
+        return [((x * _SALT[1 + k]) >> np.uint64(64 - bits)).astype(np.int64) for k, (x, bits) in enumerate(zip(mixed, CONTEXTS))]
+
+    def history(self, bits: int) -> np.ndarray:
+        """Of each token: a hash of so many bits of the two before it."""
+        return T.mix(self.before(self.hash, 1) * _SALT[0] + self.before(self.hash, 2) * _SALT[1]) >> np.uint64(64 - bits)
 
 
 def _parts(starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
@@ -244,320 +251,434 @@ def _parts(starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> Iterat
         i = j
 
 
-_OPENED: dict[str, tuple[bytes, object]] = {}
-
-
-def _packed(table: np.ndarray) -> bytes:
-    """For a broadcast: empty slots take no room."""
-    return zlib.compress(table.tobytes(), 1)
-
-
-def _opened(name: str, packed: bytes, build):
-    """build(bytes) of a broadcast, once in each worker."""
-    if name not in _OPENED or _OPENED[name][0] is not packed:
-        _OPENED[name] = (packed, build(zlib.decompress(packed)))
-    return _OPENED[name][1]
-
-
-def _mixer(shared, weights: np.ndarray) -> Mixer:
-    mixer = _opened("mixer", shared.value, lambda raw: Mixer(np.frombuffer(raw, np.uint16).reshape(2, -1), weights))
-    mixer.weights = weights.astype(np.float32)
-    return mixer
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) of every token: n over all training texts, 0 if only held-out ones have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text", SLICE):
-                t = Tokens(*T.buffers(part.column("text")))
-                t.gather()
-                own = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-                n = np.bincount(t.inverse, own[t.doc], t.keys.size)
-                yield pa.RecordBatch.from_arrays([pa.array(t.names(np.arange(t.keys.size)), pa.binary()), pa.array(n.astype(np.int64))], names=["token", "n"])
-
-    return docs.select("text", "held_out").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
 def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in tokens], np.int64)
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def _blocks(table: np.ndarray, change=lambda block: block) -> Iterator[pa.RecordBatch]:
-    """The non-empty blocks of a table whose last axis is slots, each changed first."""
-    for b in np.flatnonzero(table.reshape(-1, table.shape[-1] // BLOCK, BLOCK).any((0, 2))).tolist():
-        packed = zlib.compress(np.ascontiguousarray(change(table[..., b * BLOCK : (b + 1) * BLOCK])).tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([packed], pa.binary())], names=["block", "salt", "counts"])
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values as differences and byte by byte, so that leading zeros take no room."""
+    return _squeeze(np.ascontiguousarray(np.diff(values.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
 
 
-def _merged(rows: DataFrame, merge, out: np.ndarray) -> np.ndarray:
-    """Merge blocks in two steps, so that no group grows with the number of tasks, into out."""
-    kind, shape = out.dtype, (*out.shape[:-1], BLOCK)  # the function must not carry the table along
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_spread(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
-    def group(pdf):
-        parts = [np.frombuffer(zlib.decompress(x), kind).reshape(shape) for x in pdf["counts"]]
-        return pdf.head(1).assign(counts=[zlib.compress(merge(parts).tobytes(), 1)])
 
-    schema = "block long, salt int, counts binary"
-    whole = rows.groupBy("block", "salt").applyInPandas(group, schema).groupBy("block").applyInPandas(group, schema)
-    for row in whole.collect():  # no more than the table itself, whose size is fixed
-        at = row["block"] * BLOCK
-        out[..., at : at + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), kind).reshape(shape)
-    return out
+def _squeeze(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
-def _add(parts: list[np.ndarray]) -> np.ndarray:
-    """Sums, scaled down together where they would not fit."""
-    total = sum(p.astype(float) for p in parts)
-    return np.rint(total * np.minimum(1, 65535 / np.maximum(total.max(0), 1))).astype(np.uint16)
+def _spread(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
-def context_counts(types: DataFrame) -> np.ndarray:
-    """uint16[2, slots]: zeros and ones that the distinct tokens show in each slot."""
-    size = int(OFFSET[-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, size), np.int32)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 20_000):
-                stream = Stream(*_flat(batch.slice(begin, 20_000).column("token").to_pylist()))
-                found: list[list[np.ndarray]] = [[] for _ in range(K)]
-                for start in range(0, stream.byte.size, CHUNK):
-                    part = np.arange(start, min(start + CHUNK, stream.byte.size))
-                    for bit, at in slots(stream.take(part), stream.byte[part]):
-                        for k, slot in enumerate(at):
-                            found[k].append(((slot - OFFSET[k]) * 2 + bit).astype(np.int32))
-                for k, cells in enumerate(found):
-                    more = np.bincount(np.concatenate(cells), minlength=2 << BITS[k]).reshape(-1, 2) if cells else 0
-                    seen[:, OFFSET[k] : OFFSET[k + 1]] += np.asarray(more, np.int32).T
-        yield from _blocks(seen, lambda block: _add([block]))
-
-    return _merged(types.select("token").coalesce(TASKS).mapInArrow(run, "block long, salt int, counts binary"), _add, np.zeros((2, size), np.uint16))
+SLICED = "slice long, ids array<long>, held array<boolean>, sizes array<long>, texts binary"
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """docs with the slice of texts that each row is scored in."""
+    """One row for each slice of texts: ids, folds, sizes in bytes, and the texts, squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 20
+        at = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in T.slices(batch, "text", SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, at)), *part.columns], names=["slice", *part.schema.names])
+                data, offsets = T.buffers(part.column("text"))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x) for x in (part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)))]
+                yield pa.RecordBatch.from_arrays([pa.array([at]), *lists, pa.array([_squeeze(data)], pa.binary())], names=["slice", "ids", "held", "sizes", "texts"])
                 at += 1
 
-    return docs.mapInArrow(run, "slice long, doc_id long, held_out boolean, text string")
-
+    return docs.mapInArrow(run, SLICED)
 
-ANSWERS = "bucket long, slice long, given binary, mark binary, n binary"
 
+def _tokens(row: dict) -> tuple[Tokens, np.ndarray]:
+    """The tokens of a slice, and whether each text is held out."""
+    offsets = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
+    return Tokens(_spread(row["texts"], np.uint8), offsets), np.asarray(row["held"], bool)
 
-def _planes(context: np.ndarray) -> bytes:
-    """Contexts in order, as differences and byte by byte, so that leading zeros take no room in a shuffle."""
-    return np.diff(context, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
+#: Kinds of rows: counts of tokens, of histories, of class contexts, words seen once, masses of codes.
+COUNTS, HISTORY, CLASSES, ONCE, MASSES = range(5)
+ASKED = "kind int, bucket long, slice long, keys binary, n binary, names binary, sizes binary"
+ANSWERED = "kind int, bucket long, slice long, found binary, value binary, tokens long, types long, once long, twice long"
 
-def _contexts(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), values.size) if values.size else np.zeros(1, np.int64)
 
-def bucket_bits(slices: DataFrame) -> int:
-    """The logarithm of the number of buckets for so many bytes."""
-    size = slices.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(np.ceil(np.log2(max(LEAST_BUCKETS, size / BUCKET_BYTES))))
 
+def ask(slices: DataFrame, bits: int, wide: int) -> DataFrame:
+    """The keys of each slice by bucket, with their training counts; and each task's class contexts."""
 
-def history(slices: DataFrame, bits: int) -> DataFrame:
-    """Of the contexts of each slice and bucket in order: whether there is an answer, and if so the token that follows most often in all training texts, and how often.
+    def rows(kind, bucket, slice_, keys, n, names=None, sizes=None):
+        m = len(bucket)
+        columns = [pa.array(np.full(m, kind, np.int32)), pa.array(bucket), pa.array(np.full(m, slice_)), *(pa.array(x if x is not None else [None] * m, pa.binary()) for x in (keys, n, names, sizes))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASKED.split(", ")])
 
-    A context seen once in all is left out of the answers to the training text that has it, where it predicts nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(sum(1 << b for b in CONTEXTS) << CLASS, np.int64)
+        first = np.cumsum([0, *(1 << b for b in CONTEXTS)]) << CLASS
         for batch in batches:
-            of = batch.column("slice").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-            for a, b in zip(edges, edges[1:]):
-                part = batch.slice(a, b - a)
-                t = Tokens(*T.buffers(part.column("text")))
-                own = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-                context, mark = t.history()
-                order = np.lexsort((mark, context))
-                context, mark, seen = context[order], mark[order], own[t.doc][order]
-                first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (mark[1:] != mark[:-1])))
-                n = np.add.reduceat(seen.astype(np.int64), first).astype(np.uint32)
-                context, mark = context[first], mark[first]
-                bucket = (context >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), bucket.size)
+            for row in batch.to_pylist():
+                t, held = _tokens(row)
+                own = ~held[t.doc]
+                for k, context in enumerate(t.contexts()):
+                    seen[first[k] : first[k + 1]] += np.bincount((context[own] << CLASS) | t.kind[own], minlength=int(first[k + 1] - first[k]))
+                keys, at, back = np.unique(t.hash, return_index=True, return_inverse=True)
+                n, kind = np.bincount(back, own, keys.size).astype(np.int64), t.kind[at]
+                cuts = _cuts(keys >> np.uint64(64 - bits))
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                packed = [pa.array([pack(x[i:j]) for i, j in spans], pa.binary()) for x, pack in ((context, _planes), (mark, np.ndarray.tobytes), (n, np.ndarray.tobytes))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(spans), of[a])), *packed], names=["bucket", "slice", "context", "mark", "n"])
-
-    def answer(rows: pa.Table) -> pa.Table:
-        contexts = [_contexts(x) for x in rows.column("context").to_pylist()]
-        mark, n = (np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column(name).to_pylist()]) for name in ("mark", "n"))
-        slices, row = np.unique(rows.column("slice").to_numpy(), return_inverse=True)
-        row, context = np.repeat(row, [x.size for x in contexts]), np.concatenate(contexts)
-        # a slice may have come in parts: its contexts together, in order
-        together = np.lexsort((context, row))
-        row, context, mark, n = row[together], context[together], mark[together], n[together]
-        order = np.lexsort((mark, context))
-        c, m = context[order], mark[order]
-        new = np.append(True, c[1:] != c[:-1])
-        pair = np.flatnonzero(new | np.append(True, m[1:] != m[:-1]))
-        times, kind = np.add.reduceat(n[order].astype(np.int64), pair), np.cumsum(new) - 1
-        kind_of_row = np.empty(kind.size, np.int64)
-        kind_of_row[order] = kind
-        best = np.lexsort((m[pair], times, kind[pair]))
-        best = best[np.append(np.diff(kind[pair][best]) > 0, True)]
-        total = np.bincount(kind[pair], times)
-        here = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (context[1:] != context[:-1])))
-        k, mine = kind_of_row[here], np.add.reduceat(n.astype(np.int64), here)
-        top = times[best]
-        kept = (top[k] > 0) & ~((total[k] == 1) & (mine > 0))
-        cuts = np.searchsorted(row[here], np.arange(slices.size + 1)).tolist()
-        best = pair[best]
-        given, marks, often = [], [], []
-        for a, b in zip(cuts, cuts[1:]):
-            chosen = k[a:b][kept[a:b]]
-            given.append(np.packbits(kept[a:b]).tobytes())
-            marks.append(m[best][chosen].tobytes())
-            often.append(top[chosen].tobytes())
-        return pa.Table.from_arrays([pa.array(np.full(slices.size, rows.column("bucket")[0].as_py())), pa.array(slices), *(pa.array(x, pa.binary()) for x in (given, marks, often))], names=["bucket", "slice", "given", "mark", "n"])
-
-    return slices.mapInArrow(run, "bucket long, slice long, context binary, mark binary, n binary").groupBy("bucket").applyInArrow(answer, ANSWERS)
-
-
-def known(answers: pa.Table, context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The answers to a slice of these contexts: contexts in order, marks and counts."""
-    keys = np.unique(context)
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    answers = answers.sort_by("bucket")
-    given = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(size)) for x, size in zip(answers.column("given").to_pylist(), np.bincount(bucket)[np.unique(bucket)].tolist(), strict=True)]
-    chosen = np.concatenate(given).astype(bool)
-    mark, n = (np.frombuffer(b"".join(answers.column(name).to_pylist()), kind) for name, kind in (("mark", np.uint32), ("n", np.int64)))
-    return keys[chosen], mark, n
-
-
-def learn_weights(types: DataFrame, tables) -> np.ndarray:
-    """Weights refined online in every task over its share of the distinct tokens, averaged by the bits each has seen."""
-    shape = first_weights().shape
+                raw, names, sizes = t.data.tobytes(), [], []
+                for i, j in spans:
+                    single = np.flatnonzero(n[i:j] == 1) + i
+                    begin, size = t.starts[at[single]], t.lengths[at[single]]
+                    names.append(zstandard.compress(b"".join([raw[x : x + y] for x, y in zip(begin.tolist(), size.tolist())]), 1))
+                    sizes.append(_squeeze(size))
+                yield rows(COUNTS, (keys[cuts[:-1]] >> np.uint64(64 - bits)).astype(np.int64), row["slice"], [_pack(keys[i:j]) for i, j in spans], [_squeeze(n[i:j] << CLASS | kind[i:j]) for i, j in spans], names, sizes)
+                key = np.sort(t.history(wide) << np.uint64(CODE + 1) | t.code.astype(np.uint64) << np.uint64(1) | own)
+                pair = key >> np.uint64(1)
+                first_of = _cuts(pair)
+                n = np.add.reduceat((key & np.uint64(1)).astype(np.int64), first_of[:-1]) if pair.size else np.zeros(0, np.int64)
+                pair = pair[first_of[:-1]]
+                bucket = pair >> np.uint64(wide + CODE - bits)
+                cuts = _cuts(bucket)
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                yield rows(HISTORY, bucket[cuts[:-1]].astype(np.int64), row["slice"], [_pack(pair[i:j]) for i, j in spans], [_squeeze(n[i:j]) for i, j in spans])
+        part, blocks = TaskContext.get().partitionId(), seen.reshape(-1, BLOCK)
+        full = np.flatnonzero(blocks.any(1))
+        yield rows(CLASSES, (full << 32) + part // FAN, -1, [b""] * full.size, [_squeeze(blocks[b]) for b in full.tolist()])
+
+    return slices.mapInArrow(run, ASKED)
+
+
+def _runs(rows: pa.Table, name: str, unpack) -> list[np.ndarray]:
+    return [unpack(x) for x in rows.column(name).to_pylist()]
+
+
+def answer(rows: pa.Table) -> pa.Table:
+    """What a bucket knows of the keys that slices ask for."""
+    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+    out: list[tuple] = []
+    if kind == CLASSES:
+        out.append((kind, bucket, -1, b"", _squeeze(sum(_spread(x, np.int64) for x in rows.column("n").to_pylist())), 0, 0, 0, 0))
+    else:
+        keys, ns = _runs(rows, "keys", _unpack), _runs(rows, "n", lambda x: _spread(x, np.int64))
+        sizes = np.array([x.size for x in keys])
+        key, n, of = np.concatenate(keys), np.concatenate(ns), rows.column("slice").to_numpy()
+        if kind == COUNTS:
+            word_kind, n = n & ((1 << CLASS) - 1), n >> CLASS
+        row = np.repeat(np.arange(sizes.size), sizes)
+        ends = np.cumsum(sizes)
+        order = np.argsort(key)
+        ranked = key[order]
+        first = _cuts(ranked)[:-1]
+        times = np.add.reduceat(n[order], first)
+        each = np.empty(key.size, np.int64)  # of each asked key, its place among the distinct ones
+        each[order] = np.repeat(np.arange(first.size), np.diff(np.append(first, key.size)))
+        if kind == COUNTS:
+            got = times[each]
+            stats = (int(times.sum()), *(int(x.sum()) for x in (times > 0, times == 1, times == 2)))
+            for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+                out.append((kind, bucket, int(of[i]), b"", _squeeze(got[a:b]), *(stats if i == 0 else (0, 0, 0, 0))))
+            code = word_kind[order[first]] << (CODE - CLASS) | (ranked[first] >> np.uint64(64 - CODE + CLASS)).astype(np.int64)
+            sums = np.concatenate([np.bincount(code, x, 1 << CODE).astype(np.int64) for x in (times, times > 0)]).reshape(-1, BLOCK)
+            out += [(MASSES, b << 32 | bucket, -1, b"", _squeeze(sums[b]), 0, 0, 0, 0) for b in np.flatnonzero(sums.any(1)).tolist()]
+            names = []
+            for i, (packed, much) in enumerate(zip(rows.column("names").to_pylist(), _runs(rows, "sizes", lambda x: _spread(x, np.int64)))):
+                here = slice(int(ends[i] - sizes[i]), int(ends[i]))
+                hapax = (got[here] == 1)[n[here] == 1]
+                raw, stop = zstandard.decompress(packed), np.cumsum(much)
+                names += [(int(h), raw[e - m : e]) for h, e, m in zip(key[here][n[here] == 1][hapax].tolist(), stop[hapax].tolist(), much[hapax].tolist())]
+            names.sort()
+            lengths = np.array([len(x) for _, x in names], np.int64)
+            out.append((ONCE, bucket, -1, zstandard.compress(b"".join(x for _, x in names), 1), _squeeze(lengths), 0, 0, 0, 0))
+        else:
+            context = ranked[first] >> np.uint64(CODE)
+            start = _cuts(context)[:-1]
+            total = np.add.reduceat(times, start)
+            top = np.maximum.reduceat(times << CODE | (ranked[first] & np.uint64((1 << CODE) - 1)).astype(np.int64), start)
+            group = np.repeat(np.arange(start.size), np.diff(np.append(start, context.size)))[each]
+            here = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
+            mine, g = np.add.reduceat(n, here), group[here]
+            often, whole = top[g] >> CODE, total[g]
+            # a context that one training token has in all foretells nothing, to that token least of all
+            kept = (often > 0) & ~((whole == 1) & (mine > 0))
+            scale = np.maximum(whole / 63, 1)
+            value = ((top[g] & ((1 << CODE) - 1)) | np.rint(often / scale).astype(np.int64) << CODE | np.rint(whole / scale).astype(np.int64) << (CODE + 6)).astype(np.uint32)
+            cut = np.searchsorted(row[here], np.arange(sizes.size + 1))
+            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                out.append((kind, bucket, int(of[i]), np.packbits(kept[a:b]).tobytes(), _squeeze(value[a:b][kept[a:b]]), 0, 0, 0, 0))
+    return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=[c.split()[0] for c in ANSWERED.split(", ")])
+
+
+def merged(rows: DataFrame, salts: int, size: int) -> np.ndarray:
+    """The sum of tables that come in (block, salt, value) rows, at most FAN at a time. Its size is fixed."""
+
+    def add(part: pa.Table) -> pa.Table:
+        total = _squeeze(sum(_spread(x, np.int64) for x in part.column("value").to_pylist()))
+        return pa.Table.from_arrays([part.column("block").slice(0, 1), part.column("salt").slice(0, 1), pa.array([total], pa.binary())], names=["block", "salt", "value"])
+
+    rows = rows.select("block", "salt", "value")
+    while True:
+        salts = -(-salts // FAN)
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN)).groupBy("block", "salt").applyInArrow(add, "block long, salt long, value binary")
+        if salts <= 1:
+            break
+    out = np.zeros((size // BLOCK, BLOCK), np.int64)
+    for row in rows.collect():
+        out[row["block"]] = _spread(row["value"], np.int64)
+    return out.ravel()
+
+
+def heap(leaves: np.ndarray) -> np.ndarray:
+    """Sums of leaves over a binary tree, by heap index, on the last axis."""
+    levels = [leaves]
+    while levels[-1].shape[-1] > 1:
+        levels.append(levels[-1][..., ::2] + levels[-1][..., 1::2])
+    return np.concatenate([np.zeros_like(levels[-1]), *levels[::-1]], axis=-1)
+
+
+def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of the nodes of trees, at their heap index: the log-odds of a one."""
+    return np.insert(np.clip(np.log(one / zero), -14, 14), 0, 0, axis=-1).astype(np.float32)
+
+
+class Tables:
+    """What every task needs, of fixed size: log-odds of the bits of codes, and the spelling mixer."""
+
+    def __init__(self, codes: np.ndarray, types: np.ndarray, classes: np.ndarray, spelling: np.ndarray, weights: np.ndarray, total: int, kinds: int, once: int, twice: int):
+        self.total, self.kinds = total, kinds
+        self.discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
+        self.new = min(max(self.discount * kinds / max(total, 1), 1e-6), 0.5)
+        leaves = np.maximum(codes - self.discount * types, 0) + LEAST_MASS
+        self.mass = np.log(leaves).astype(np.float32)
+        tree = heap(leaves)
+        self.plain = log_odds(tree[2::2], tree[3::2])
+        self.classes, at = [], 0
+        share = tree[3 : 2 << CLASS : 2] / (tree[2 : 2 << CLASS : 2] + tree[3 : 2 << CLASS : 2])
+        for b in CONTEXTS:
+            seen = heap(classes[at : at + (1 << b + CLASS)].reshape(-1, 1 << CLASS).astype(float))
+            at += 1 << b + CLASS
+            self.classes.append(log_odds(seen[:, 2::2] + STRENGTH * (1 - share), seen[:, 3::2] + STRENGTH * share).ravel())
+        self.spelling, self.weights = spelling, weights
+
+    def speller(self) -> "Mixer":
+        if not hasattr(self, "_speller"):
+            self._speller = Mixer(self.spelling, self.weights)
+        return self._speller
+
+
+def first_mix() -> np.ndarray:
+    """Weights before any text is read, by part of the code, state of the foretold token, and input: the code so far, three contexts, the foretold token."""
+    w = np.zeros((len(PARTS), STATES, 5), np.float32)
+    w[0, 0] = (0.05, 0.35, 0.35, 0.3, 0)
+    w[1:, 0, 0] = 1
+    w[:, 1:, 4] = 1
+    return w
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, state, seen = None, np.zeros(int(np.prod(shape))), 0.0
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 100_000):
-                mixer = mixer or _mixer(tables, first_weights())
-                stream = Stream(*_flat(batch.slice(begin, 100_000).column("token").to_pylist()))
-                seen += mixer.refine(stream, state)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mixer.weights.ravel().astype(float).tolist()], pa.list_(pa.float64()))], names=["seen", "w"])
-
-    each = types.select("token").coalesce(TASKS).mapInArrow(run, "seen double, w array<double>")
-    mean = each.select("seen", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()
-    out = first_weights().ravel()
-    out[mean["i"].to_numpy(int)] = mean["w"].to_numpy(float)
-    return out.reshape(shape)
 
+def known(answers: pa.Table, keys: np.ndarray, bits: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contexts (in order) of a slice: the foretold code, how often it followed, and how often any did; 0 times if none."""
+    code, often, whole = (np.zeros(keys.size, np.int64) for _ in range(3))
+    if keys.size:
+        answers = answers.sort_by("bucket")
+        size = np.diff(_cuts(keys >> np.uint64(wide - bits)))
+        given = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(m)) for x, m in zip(answers.column("found").to_pylist(), size, strict=True)]).astype(bool)
+        value = np.concatenate(_runs(answers, "value", lambda x: _spread(x, np.uint32))).astype(np.int64)
+        code[given], often[given], whole[given] = value & ((1 << CODE) - 1), value >> CODE & 63, value >> (CODE + 6)
+    return code, often, whole
+
+
+def foretold(t: Tokens, held: np.ndarray, answers: pa.Table, bits: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the code that its history foretells, the trust in it (0 if none), and its state."""
+    keys, back = np.unique(t.history(wide), return_inverse=True)
+    code, often, whole = (x[back] for x in known(answers, keys, bits, wide))
+    own = ~held[t.doc]
+    true = code == t.code
+    often, whole = often - (own & true), whole - own
+    made = often > 0
+    hit = made & true
+    run, so = np.zeros(hit.size, np.int64), np.ones(hit.size, bool)
+    for back_by in (1, 2, 3):
+        so &= t.before(hit, back_by)
+        run += so
+    trust = TRUST[np.minimum(often, 3) - 1, run] * np.minimum(often / np.maximum(whole, 1), 1)
+    return code, np.where(made, trust, 0.0).astype(np.float32), np.where(made, 1 + (run > 0), 0)
+
+
+def steps(longest: int) -> Iterator[tuple[int, int]]:
+    begin, end = 0, FIRST_STEP
+    while begin < longest:
+        yield begin, end
+        begin, end = end, end * 4
+
+
+def mix(t: Tokens, code: np.ndarray, trust: np.ndarray, state: np.ndarray, chosen: np.ndarray, tables: Tables) -> np.ndarray:
+    """Natural log of the probability of the code bits of the chosen tokens, text by text, weights refined on the way; 0 for others."""
+    loss = np.zeros(t.code.size)
+    weights = np.broadcast_to(first_mix(), (t.n, *first_mix().shape)).copy()
+    slope, bend = np.zeros(weights.shape), np.full(weights.shape, DAMPING)
+    contexts = t.contexts()
+    for begin, end in steps(int(t.count.max()) if t.n else 0):
+        block = np.flatnonzero((t.place >= begin) & (t.place < end) & chosen)
+        for start in range(0, block.size, CHUNK):
+            at = block[start : start + CHUNK]
+            doc, target, guess = t.doc[at], t.code[at], code[at]
+            q, live = trust[at].copy(), state[at].copy()
+            later = t.count[doc] > end
+            path, node = np.ones(at.size, np.float32), np.ones(at.size, np.int64)
+            base = [c[at] << CLASS for c in contexts]
+            got = np.zeros(at.size, np.float32)
+            for j in range(CODE):
+                part = sum(j >= p for p in PARTS) - 1
+                bit = target >> (CODE - 1 - j) & 1
+                x = [tables.plain[node]]
+                if part == 0:
+                    x += [table[b + node] for table, b in zip(tables.classes, base)]
+                w = weights[doc, part, live]
+                z = w[:, 0] * x[0]
+                for k in range(1, len(x)):
+                    z += w[:, k] * x[k]
+                on = np.flatnonzero(live)
+                hint = np.zeros(at.size, np.float32)
+                if on.size:
+                    first = first_mix()[part, 0]
+                    plain = sum(first[k] * x[k][on] for k in range(len(x)))
+                    up = guess[on] >> (CODE - 1 - j) & 1
+                    share = 1 / (1 + np.exp(np.where(up == 1, -plain, plain)))
+                    whole = q[on] + (1 - q[on]) * path[on]
+                    path[on] *= share
+                    right = np.clip((q[on] + (1 - q[on]) * path[on]) / whole, 1e-4, 1 - 1e-4)
+                    hint[on] = np.where(up == 1, 1, -1) * np.log(right / (1 - right))
+                    z += w[:, 4] * hint
+                    gone = on[up != bit[on]]
+                z = np.clip(z, -14, 14)
+                got -= np.logaddexp(np.float32(0), np.where(bit == 1, -z, z))
+                teach = np.flatnonzero(later)
+                if teach.size:
+                    p = 1 / (1 + np.exp(-z[teach]))
+                    err, curve = bit[teach] - p, p * (1 - p)
+                    cell = doc[teach] * STATES + live[teach]
+                    for k, v in (*enumerate(x), *([(4, hint)] if on.size else [])):
+                        v = v[teach]
+                        slope[:, part, :, k] += np.bincount(cell, err * v, t.n * STATES).reshape(-1, STATES)
+                        bend[:, part, :, k] += np.bincount(cell, curve * v * v, t.n * STATES).reshape(-1, STATES)
+                if on.size:
+                    live[gone] = 0
+                node = node * 2 + bit
+            loss[at] = got
+        weights += slope / bend
+        np.clip(weights, -0.5, 2, out=weights)
+        slope[:] = 0
+    return loss
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def score_slices(slices: DataFrame, answers: DataFrame, bits: int, wide: int, shared) -> DataFrame:
+    """op1's columns of every text."""
 
-def spell(types: DataFrame, tables, weights: np.ndarray) -> DataFrame:
-    """(token, n, spelling): log10 probability of each token's spelling."""
+    def run(part: pa.Table, theirs: pa.Table) -> pa.Table:
+        tables, row = shared.value, part.to_pylist()[0]
+        t, held = _tokens(row)
+        kind = theirs.column("kind").to_numpy()
+        counts = theirs.take(np.flatnonzero(kind == COUNTS)).sort_by("bucket")
+        n = np.concatenate(_runs(counts, "value", lambda x: _spread(x, np.int64)))[np.unique(t.hash, return_inverse=True)[1]]
+        is_known = n > 0
+        code, trust, state = foretold(t, held, theirs.take(np.flatnonzero(kind == HISTORY)), bits, wide)
+        got = mix(t, code, trust, state, is_known, tables)
+        # new or known: the share of new words in the text so far, drawn to the corpus's
+        fresh = np.cumsum(~is_known) - ~is_known
+        fresh -= np.repeat(fresh[np.cumsum(t.count) - t.count], t.count)
+        share = (fresh + NEW_PRIOR * tables.new) / (t.place + NEW_PRIOR)
+        got += np.log(np.where(is_known, 1 - share, share))
+        got[is_known] += np.log(np.maximum(n[is_known] - tables.discount, 1e-9)) - tables.mass[t.code[is_known]]
+        others = np.flatnonzero(~is_known)
+        if others.size:
+            _, at, back = np.unique(t.hash[others], return_index=True, return_inverse=True)
+            got[others] += tables.speller().log10(Stream(t.data, t.starts[others[at]], t.lengths[others[at]]))[back] * np.log(10)
+        scale = np.log10(tables.total + tables.kinds + 1)
+        score = np.bincount(t.doc, got, t.n) / np.log(10)
+        base = np.bincount(t.doc, np.log10(n + 1.0) - scale, t.n)
+        size = np.maximum(np.asarray(row["sizes"]), 1)
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(held), pa.array(t.count), pa.array(np.bincount(t.doc, is_known, t.n).astype(np.int64)), pa.array(np.full(t.n, tables.total)), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)]
+        return pa.Table.from_arrays(columns, names=[c.split()[0] for c in SCORED.split(", ")])
+
+    both = answers.where(F.col("kind").isin(COUNTS, HISTORY)).select("kind", "bucket", "slice", "found", "value")
+    return slices.groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(run, SCORED)
+
+
+def _spelled(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = _spread(row["value"], np.int64)
+    return np.frombuffer(zstandard.decompress(row["found"]), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def spelling_counts(once: DataFrame, buckets: int) -> np.ndarray:
+    """int64[2, slots]: zeros and ones that the words seen once show in each slot."""
+    size = int(OFFSET[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mixer = _mixer(tables, weights)
-            for begin in range(0, batch.num_rows, 20_000):
-                part = batch.slice(begin, 20_000)
-                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("n"), pa.array(mixer.log10(Stream(*_flat(part.column("token").to_pylist()))))], names=["token", "n", "spelling"])
-
-    return types.select("token", "n").mapInArrow(run, "token binary, n long, spelling double")
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, tries array<int>, hits array<int>, rare array<struct<token: binary, uses: bigint>>"
-
-
-def score_rows(slices: DataFrame, bits: int, heavy, total: int, kinds: int, discount: float) -> DataFrame:
-    """Of each row: the scores of heavy tokens, predictions by gate, and its other tokens.
-
-    ``uses`` of a token is how often the text has it, times 2^32, plus how often no prediction of it came true."""
-    scale = np.log10(max(total + kinds + 1, 1))
+            for row in batch.to_pylist():
+                seen, words = np.zeros((2, size), np.int64), _spelled(row)
+                for begin in range(0, words[1].size, 20_000):
+                    stream = Stream(words[0], *(x[begin : begin + 20_000] for x in words[1:]))
+                    for start in range(0, stream.byte.size, CHUNK):
+                        part = np.arange(start, min(start + CHUNK, stream.byte.size))
+                        for bit, at in slots(stream.take(part), stream.byte[part]):
+                            for slot in at:
+                                np.add.at(seen, (bit, slot), 1)
+                blocks = seen.reshape(-1, BLOCK)
+                for b in np.flatnonzero(blocks.any(1)).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([row["bucket"]]), pa.array([_squeeze(blocks[b])], pa.binary())], names=["block", "salt", "value"])
+
+    rows = once.select("bucket", "found", "value").mapInArrow(run, "block long, salt long, value binary")
+    return merged(rows, buckets, 2 * size).reshape(2, size)
+
+
+def spelling_weights(once: DataFrame, shared) -> np.ndarray:
+    """Weights refined online over the words seen once, in each bucket for itself, and averaged by the bits seen."""
+    shape = first_weights().shape
 
-    def run(part: pa.Table, theirs: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        keys, counts = heavy.value
-        data, offsets = T.buffers(part.column("text"))
-        t = Tokens(data, offsets)
-        t.gather()
-        held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-        made, hit, gate = t.predictions(known(theirs, t.history()[0], bits), ~held)
-        cell = t.doc * GATES + gate
-        by_gate = [np.bincount(cell[chosen], minlength=t.n * GATES).astype(np.int32) for chosen in (made, hit)]
-        gates = [pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * GATES), pa.array(x)) for x in by_gate]
-        where = np.minimum(np.searchsorted(keys, t.keys), max(keys.size - 1, 0))
-        is_heavy = keys[where] == t.keys if keys.size else np.zeros(t.keys.size, bool)
-        count = np.where(is_heavy, counts[where] if keys.size else 0, 0)
-        base = np.where(is_heavy, np.log10(count + 1.0) - scale, 0.0)
-        own = np.where(is_heavy, np.log10(np.maximum(count - discount, 1e-9) / max(total, 1)), 0.0)
-        mine = np.bincount(t.doc, np.where(hit, 0, own[t.inverse]), t.n)
-        base = np.bincount(t.doc, base[t.inverse], t.n)
-        n_known = np.bincount(t.doc, is_heavy[t.inverse], t.n).astype(np.int64)
-        n_tokens = np.bincount(t.doc, minlength=t.n).astype(np.int64)
-        other = np.flatnonzero(~is_heavy[t.inverse])
-        pair, back, times = np.unique(t.doc[other].astype(np.int64) * t.keys.size + t.inverse[other], return_inverse=True, return_counts=True)
-        uses = (times.astype(np.int64) << 32) + np.bincount(back, ~hit[other], pair.size).astype(np.int64)
-        kind = pair % t.keys.size
-        named = np.unique(kind)
-        names = pa.array(t.names(named), pa.binary()).take(pa.array(np.searchsorted(named, kind)))
-        items = pa.StructArray.from_arrays([names, pa.array(uses)], names=["token", "uses"])
-        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // t.keys.size, np.arange(t.n + 1)).astype(np.int32)), items)
-        rows = (part.column("slice").to_numpy() << 24) + np.arange(t.n)
-        columns = [pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mine), *gates, rare]
-        return pa.Table.from_arrays(columns, names=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "tries", "hits", "rare"])
-
-    return slices.groupBy("slice").cogroup(history(slices, bits).groupBy("slice")).applyInArrow(run, SCORED)
-
-
-def learn_gates(scored: DataFrame) -> np.ndarray:
-    """For each gate, how often its predictions come true in training texts."""
-    at = lambda name, g: F.sum(F.get(name, F.lit(g)).cast("long"))
-    got = scored.where(~F.col("held_out")).agg(*(at(name, g) for name in ("tries", "hits") for g in range(GATES))).first()
-    tries, hits = np.array([x or 0 for x in got], float).reshape(2, GATES)
-    return (hits + 0.5) / (tries + 2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _spelled(row)
+                if words[1].size:
+                    mixer = Mixer(shared.value, first_weights())
+                    seen = mixer.refine(Stream(*words), np.zeros(int(np.prod(shape))))
+                    yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([np.rint(mixer.weights.ravel() * 1e4 * seen).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["seen", "w"])
+
+    each = once.select("found", "value").mapInArrow(run, "seen double, w array<long>")
+    # sums of whole numbers are the same in any order
+    mean = each.select("seen", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toPandas()
+    out = first_weights().ravel()
+    out[mean["i"].to_numpy(int)] = mean["w"].to_numpy(float) / 1e4
+    return out.reshape(shape)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """op1's columns for every row of docs."""
     share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    types = written(count_tokens(docs), "counts")
-    training = types.where("n > 0")
-    stats = training.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    total, kinds, once, twice = (int(x or 0) for x in stats)
-    discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
-    least = max(2, total * HEAVY_SHARE)
-    frequent = types.where(F.col("n") >= least).toPandas()
-    raw, starts, lengths = _flat([bytes(x) for x in frequent["token"]])
-    keys = T.hash_runs(raw, starts, starts + lengths)
-    order = np.argsort(keys)
-    heavy = share((keys[order], frequent["n"].to_numpy(np.int64)[order]))
-    tables = share(_packed(context_counts(training)))
-    spelled = written(spell(types.where(F.col("n") < least), tables, learn_weights(training, tables)), "spelled")
     slices = written(sliced(docs), "slices")
-    scored = written(score_rows(slices, bucket_bits(slices), heavy, total, kinds, discount), "scored")
-    gates = learn_gates(scored)
-    n, times, open_times = F.col("n"), F.shiftright("uses", 32), F.col("uses") % (1 << 32)
-    scale, whole = float(np.log10(max(total + kinds + 1, 1))), float(max(total, 1))
-    spare = max(discount * kinds, 1e-9) / whole
-    own = F.log10(F.greatest(n - discount, F.lit(0.0)) / whole + spare * F.pow(F.lit(10.0), F.greatest("spelling", F.lit(-300.0))))
-    own = F.when(n > 0, own).otherwise(np.log10(spare) + F.col("spelling"))
-    valued = spelled.select("token", (F.log10(n + 1.0) - scale).alias("base_each"), (n > 0).cast("int").alias("is_known"), own.alias("own_each"))
-    rare = scored.select("row", F.inline("rare")).join(valued, "token")
-    more = rare.groupBy("row").agg(F.sum(times * F.col("base_each")).alias("more"), F.sum(times * F.col("is_known")).alias("known"), F.sum(F.when(open_times > 0, open_times * F.col("own_each")).otherwise(0.0)).alias("own"))
-    rows = scored.drop("rare").join(more, "row", "left")
-    nothing = F.lit(0.0)
-    made = sum((F.get("hits", F.lit(g)) * float(np.log10(gates[g])) + (F.get("tries", F.lit(g)) - F.get("hits", F.lit(g))) * float(np.log10(1 - gates[g])) for g in range(GATES)), nothing)
-    total_score = F.col("score") + made + F.coalesce("own", nothing)
-    bits = -total_score / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", nothing)).alias("base_score"), total_score.alias("score"), bits.alias("bits_per_byte"))
+    size = slices.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, b) -> a + b)")).alias("bytes"), F.max("slice").alias("last")).first()
+    bits = int(np.ceil(np.log2(max(LEAST_BUCKETS, (size["bytes"] or 0) / BUCKET_BYTES))))
+    wide = min(43, max(bits + 8, int(np.ceil(np.log2(max(size["bytes"] or 0, 1 << 16)))) + 10))
+    parts = ((size["last"] or 0) >> 24) + 1
+    answers = written(ask(slices, bits, wide).groupBy("kind", "bucket").applyInArrow(answer, ANSWERED), "answers", by="kind")
+    stats = answers.where(F.col("kind") == COUNTS).agg(*(F.sum(c) for c in ("tokens", "types", "once", "twice"))).first()
+    total, kinds, once, twice = (int(x or 0) for x in stats)
+    tables = answers.withColumn("block", F.shiftright("bucket", 32)).withColumn("salt", F.col("bucket") % (1 << 32))
+    classes = merged(tables.where(F.col("kind") == CLASSES), parts // FAN + 1, sum(1 << b for b in CONTEXTS) << CLASS)
+    codes = merged(tables.where(F.col("kind") == MASSES), 1 << bits, 2 << CODE).reshape(2, -1)
+    words = answers.where(F.col("kind") == ONCE)
+    spelling = spelling_counts(words, 1 << bits)
+    weights = spelling_weights(words, share(spelling))
+    shared = share(Tables(codes[0], codes[1], classes, spelling, weights, total, kinds, once, twice))
+    return score_slices(slices, answers, bits, wide, shared)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
