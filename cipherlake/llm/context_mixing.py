@@ -516,59 +516,69 @@ def steps(longest: int) -> Iterator[tuple[int, int]]:
 
 def mix(t: Tokens, code: np.ndarray, trust: np.ndarray, state: np.ndarray, chosen: np.ndarray, tables: Tables) -> np.ndarray:
     """Natural log of the probability of the code bits of the chosen tokens, text by text, weights refined on the way; 0 for others."""
-    loss = np.zeros(t.code.size)
-    weights = np.broadcast_to(first_mix(), (t.n, *first_mix().shape)).copy()
+    loss, start_mix, one = np.zeros(t.code.size), first_mix(), np.float32(1)
+    # by part and input, the weights of each text and state
+    weights = np.repeat(start_mix.transpose(0, 2, 1)[:, :, None, :], t.n, axis=2)
     slope, bend = np.zeros(weights.shape), np.full(weights.shape, DAMPING)
-    contexts = t.contexts()
+    contexts = [(x << CLASS).astype(np.int32) for x in t.contexts()]
+    codes, guesses, states = (x.astype(np.int32) for x in (t.code, code, state))
     for begin, end in steps(int(t.count.max()) if t.n else 0):
         block = np.flatnonzero((t.place >= begin) & (t.place < end) & chosen)
         for start in range(0, block.size, CHUNK):
             at = block[start : start + CHUNK]
-            doc, target, guess = t.doc[at], t.code[at], code[at]
-            q, live = trust[at].copy(), state[at].copy()
-            later = t.count[doc] > end
-            path, node = np.ones(at.size, np.float32), np.ones(at.size, np.int64)
-            base = [c[at] << CLASS for c in contexts]
+            doc, target, guess = t.doc[at], codes[at], guesses[at]
+            q, cell = trust[at], (doc * STATES + states[at]).astype(np.int32)
+            on = np.flatnonzero(states[at])
+            q, path = q[on], np.ones(on.size, np.float32)
+            teach = np.flatnonzero(t.count[doc] > end)
+            all_teach = teach.size == at.size
+            node, base = np.ones(at.size, np.int32), [c[at] for c in contexts]
             got = np.zeros(at.size, np.float32)
             for j in range(CODE):
                 part = sum(j >= p for p in PARTS) - 1
+                w, first = weights[part].reshape(5, -1), start_mix[part, 0]
                 bit = target >> (CODE - 1 - j) & 1
-                x = [tables.plain[node]]
+                x = [tables.plain.take(node)]
                 if part == 0:
-                    x += [table[b + node] for table, b in zip(tables.classes, base)]
-                w = weights[doc, part, live]
-                z = w[:, 0] * x[0]
+                    x += [table.take(b + node) for table, b in zip(tables.classes, base)]
+                z = w[0].take(cell) * x[0]
                 for k in range(1, len(x)):
-                    z += w[:, k] * x[k]
-                on = np.flatnonzero(live)
-                hint = np.zeros(at.size, np.float32)
+                    z += w[k].take(cell) * x[k]
+                gone = None
                 if on.size:
-                    first = first_mix()[part, 0]
-                    plain = sum(first[k] * x[k][on] for k in range(len(x)))
-                    up = guess[on] >> (CODE - 1 - j) & 1
-                    share = 1 / (1 + np.exp(np.where(up == 1, -plain, plain)))
-                    whole = q[on] + (1 - q[on]) * path[on]
-                    path[on] *= share
-                    right = np.clip((q[on] + (1 - q[on]) * path[on]) / whole, 1e-4, 1 - 1e-4)
-                    hint[on] = np.where(up == 1, 1, -1) * np.log(right / (1 - right))
-                    z += w[:, 4] * hint
-                    gone = on[up != bit[on]]
+                    plain = first[0] * x[0].take(on)
+                    for k in range(1, len(x)):
+                        plain += first[k] * x[k].take(on)
+                    up = guess.take(on) >> (CODE - 1 - j) & 1
+                    sign = (2 * up - 1).astype(np.float32)
+                    whole = q + (one - q) * path
+                    path = path / (one + np.exp(-sign * plain))
+                    right = np.clip((q + (one - q) * path) / whole, 1e-4, 1 - 1e-4)
+                    hint = sign * np.log(right / (one - right))
+                    z[on] += w[4].take(cell.take(on)) * hint
+                    gone = up != bit.take(on)
                 z = np.clip(z, -14, 14)
-                got -= np.logaddexp(np.float32(0), np.where(bit == 1, -z, z))
-                teach = np.flatnonzero(later)
+                odds = np.exp(-z)
+                got -= np.where(bit == 1, 0, z) + np.log(one + odds)
                 if teach.size:
-                    p = 1 / (1 + np.exp(-z[teach]))
-                    err, curve = bit[teach] - p, p * (1 - p)
-                    cell = doc[teach] * STATES + live[teach]
-                    for k, v in (*enumerate(x), *([(4, hint)] if on.size else [])):
-                        v = v[teach]
-                        slope[:, part, :, k] += np.bincount(cell, err * v, t.n * STATES).reshape(-1, STATES)
-                        bend[:, part, :, k] += np.bincount(cell, curve * v * v, t.n * STATES).reshape(-1, STATES)
-                if on.size:
-                    live[gone] = 0
+                    p = one / (one + odds)
+                    err, curve = bit - p, p * (one - p)
+                    if on.size:
+                        x.append(np.zeros(at.size, np.float32))
+                        x[-1][on] = hint
+                    cells, size = cell if all_teach else cell.take(teach), t.n * STATES
+                    for k, v in zip((*range(len(x) - 1), 4) if on.size else range(len(x)), x):
+                        step, curved = err * v, curve * v * v
+                        if not all_teach:
+                            step, curved = step.take(teach), curved.take(teach)
+                        slope[part, k] += np.bincount(cells, step, size).reshape(t.n, STATES)
+                        bend[part, k] += np.bincount(cells, curved, size).reshape(t.n, STATES)
+                if gone is not None and gone.any():
+                    cell[on[gone]] = doc[on[gone]] * STATES
+                    on, q, path = on[~gone], q[~gone], path[~gone]
                 node = node * 2 + bit
             loss[at] = got
-        weights += slope / bend
+        weights += (slope / bend).astype(np.float32)
         np.clip(weights, -0.5, 2, out=weights)
         slope[:] = 0
     return loss
