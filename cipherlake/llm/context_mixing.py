@@ -340,6 +340,7 @@ def ask(slices: DataFrame, bits: int, wide: int) -> DataFrame:
                 pair = key >> np.uint64(1)
                 first_of = _cuts(pair)
                 n = np.add.reduceat((key & np.uint64(1)).astype(np.int64), first_of[:-1]) if pair.size else np.zeros(0, np.int64)
+                n = n << 1 | (n < np.diff(first_of))  # and whether a held-out text asks too
                 pair = pair[first_of[:-1]]
                 bucket = pair >> np.uint64(wide + CODE - bits)
                 cuts = _cuts(bucket)
@@ -368,6 +369,8 @@ def answer(rows: pa.Table) -> pa.Table:
         key, n, of = np.concatenate(keys), np.concatenate(ns), rows.column("slice").to_numpy()
         if kind == COUNTS:
             word_kind, n = n & ((1 << CLASS) - 1), n >> CLASS
+        else:
+            asked, n = n & 1, n >> 1
         row = np.repeat(np.arange(sizes.size), sizes)
         ends = np.cumsum(sizes)
         order = np.argsort(key)
@@ -402,8 +405,8 @@ def answer(rows: pa.Table) -> pa.Table:
             here = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
             mine, g = np.add.reduceat(n, here), group[here]
             often, whole = top[g] >> CODE, total[g]
-            # a context that one training token has in all foretells nothing, to that token least of all
-            kept = (often > 0) & ~((whole == 1) & (mine > 0))
+            # a context that one training token has in all foretells nothing to that token itself
+            kept = (often > 0) & ~((whole == 1) & (mine > 0) & (np.maximum.reduceat(asked, here) == 0))
             scale = np.maximum(whole / 63, 1)
             value = ((top[g] & ((1 << CODE) - 1)) | np.rint(often / scale).astype(np.int64) << CODE | np.rint(whole / scale).astype(np.int64) << (CODE + 6)).astype(np.uint32)
             cut = np.searchsorted(row[here], np.arange(sizes.size + 1))

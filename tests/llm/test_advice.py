@@ -2,17 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
-import pyarrow as pa
-import pyarrow.compute as pc
-import pytest
-from pyspark.sql import functions as F
-
-from cipherlake.llm import _text as T
-from cipherlake.llm import context_mixing, decontaminate, html_extract, pii
-from cipherlake.llm.shared import written
-from cipherlake.operators import diff
+from cipherlake.llm import decontaminate, html_extract, pii
 from tests.llm.test_contracts import FILLER, ITEM
 
 
@@ -65,30 +55,6 @@ def test_terms_anywhere_in_the_document(spark):
         assert "Xanthippe" not in r["text"] and "x@y" not in r["text"]
 
 
-def test_history_counts_are_exact(spark):
-    """Every context keeps its most frequent follower, however often it came, on a corpus of more contexts than a fixed table holds well."""
-    rows = [(7 * k + 1, "p q left") for k in range(300)] + [(9000 + k, "p q right") for k in range(500)] + [(20000 + k, f"u{k} v{k} w{k} u{k} v{k} w{k}") for k in range(500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("held_out", context_mixing.is_held_out(F.col("doc_id")))
-    slices = written(context_mixing.sliced(docs.select("doc_id", "held_out", "text")), "slices")
-    seen = defaultdict(Counter)
-    for r in docs.collect():
-        t = context_mixing.Tokens(*T.buffers(pa.array([r["text"]])))
-        for c, m in zip(*(x.tolist() for x in t.history())):
-            seen[c][m] += not r["held_out"]
-    got, bits = {}, context_mixing.bucket_bits(slices)
-    answers, texts = context_mixing.history(slices, bits).toArrow(), slices.toArrow()
-    for k in set(texts["slice"].to_pylist()):
-        t = context_mixing.Tokens(*T.buffers(texts.filter(pc.equal(texts["slice"], k))["text"]))
-        for c, m, n in zip(*(x.tolist() for x in context_mixing.known(answers.filter(pc.equal(answers["slice"], k)), t.history()[0], bits))):
-            assert n == max(seen[c].values()) == seen[c][m]
-            got[c] = n
-    assert max(got.values()) > 255
-    assert {c for c, x in seen.items() if sum(x.values()) > 1} <= got.keys()
-    # both followers of "p q" came more than 255 times or nearly so; the more frequent one costs less
-    scored = {r["text"]: r for r in context_mixing.score(docs.select("doc_id", "text")).join(docs.select("doc_id", "text"), "doc_id").collect()}
-    assert scored["p q right"]["score"] > scored["p q left"]["score"]
-
-
 def test_leaks_without_an_id(spark):
     """A row without an id has the hits of its own text, and those alone."""
     rows = [(None, f"x {ITEM} y"), (None, "nothing of the sort"), (None, None), (1, ITEM), (2, "clean")]
@@ -97,12 +63,3 @@ def test_leaks_without_an_id(spark):
     got = sorted((r["n_words"], r["n_hit"] > 0, r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).where("doc_id is null").collect())
     assert got == [(0, False, 0, False), (4, False, 0, False), (17, True, 1, True)]
     assert sorted(str(r["text"]) for r in decontaminate.remove(docs, bench).collect()) == ["None", "clean", "nothing of the sort"]
-
-
-def test_closure_of_a_long_chain_and_a_cycle(spark):
-    """Nodes beyond the old depth of 62 are reached; a bound that is too small is an error."""
-    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(70)] + [("70", "68")], "src string, dst string")
-    roots = spark.createDataFrame([("0",)], "node string")
-    assert sorted(int(r["node"]) for r in diff.closure(edges, roots).collect()) == list(range(71))
-    with pytest.raises(ValueError):
-        diff.closure(edges, roots, 5)
