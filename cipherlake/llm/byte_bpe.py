@@ -9,13 +9,15 @@ that contain such an overlap are merged by the rank rule itself. Decoding goes f
 the character table back to bytes; characters split over tokens join again because bytes are
 concatenated before anything is read as UTF-8.
 
-Null and empty texts have no ids; their hashes are those of no bytes. One row per input row.
+Null and empty texts have no ids; their hashes are those of no bytes. One row per input row, a
+null id and repeated rows included; other columns do not matter; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
 from collections.abc import Iterator
 
@@ -53,17 +55,35 @@ def alphabet() -> list[str]:
 
 
 def by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match: merge the leftmost pair of least rank until none is left."""
+    """Ids of one match: merge the leftmost pair of least rank until none is left.
+
+    Pairs wait in a heap by rank and place, so a match of n bytes takes n log n steps."""
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(((ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks), default=None)
-        if best is None:
-            break
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    end = len(piece)
+    after = list(range(1, end + 1))  # where the part that begins here ends
+    before = list(range(-1, end - 1))  # where the part before begins
+    alive = [True] * end
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        j = after[i]
+        rank = ranks.get(piece[i : after[j]]) if j < end else None
+        return None if rank is None else (rank, i, after[j])
+
+    waiting = [x for i in range(end) if (x := pair(i))]
+    heapq.heapify(waiting)
+    while waiting:
+        rank, i, stop = heapq.heappop(waiting)
+        j = after[i] if alive[i] else end
+        if j >= end or after[j] != stop:
+            continue  # one of its halves has been merged meanwhile
+        alive[j], after[i] = False, stop
+        if stop < end:
+            before[stop] = i
+        for k in (before[i], i):
+            if k >= 0 and (x := pair(k)):
+                heapq.heappush(waiting, x)
+    return [ranks[piece[i : after[i]]] for i in range(end) if alive[i]]
 
 
 class Codec:
