@@ -120,8 +120,9 @@ def is_held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The lexicon, trees and calibration, from training rows alone."""
     usable = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col(label).isNotNull())
-    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
+    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("_apart", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    # one text for each id, so that what is collected is bounded by the sample
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y", "_apart").agg(F.min("text").alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +137,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 size = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(inverse, minlength=size).astype(np.int64)), pa.array(np.bincount(inverse, y[doc[once]], size).astype(np.int64))], names=["word", "n", "hits"])
 
-    got = chosen.agg(F.count(F.lit(1)), F.sum("_y")).first()
+    # rows kept apart for calibration have no say in the lexicon, else its features would know their labels
+    ours = rows.where(~F.col("_apart"))
+    got = chosen.where(~F.col("_apart")).agg(F.count(F.lit(1)), F.sum("_y")).first()
     total, positive = float(got[0] or 0), float(got[1] or 0)
     odds = F.log((F.col("hits") + 0.5) / (F.lit(positive) + 1)) - F.log((F.col("n") - F.col("hits") + 0.5) / (F.lit(total - positive) + 1))
-    scored = rows.mapInArrow(counts, "word string, n long, hits long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where((F.col("n") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
+    scored = ours.select("text", "_y").mapInArrow(counts, "word string, n long, hits long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where((F.col("n") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
     learned = [r["word"] for r in scored.orderBy((odds * F.sqrt("hits")).desc(), "word").limit(WORDS).select("word").collect()]
     lexicon = Lexicon(hashes(SEED), hashes(learned), hashes(SECOND))
 
@@ -147,13 +150,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         for batch in batches:
             for part in T.slices(batch, "text"):
                 x = features(*T.buffers(part.column("text")), lexicon)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), part.column("_y")], names=["doc_id", "x", "y"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), part.column("_y"), part.column("_apart")], names=["doc_id", "x", "y", "apart"])
 
-    table = rows.mapInArrow(vectors, "doc_id long, x array<double>, y double").toPandas()
+    table = rows.mapInArrow(vectors, "doc_id long, x array<double>, y double, apart boolean").toPandas()
     x, y = np.array(table["x"].tolist()).reshape(-1, MONOTONE.size), table["y"].to_numpy(float)
     order = np.lexsort((*x.T, y, table["doc_id"].to_numpy()))
-    x, y = x[order], y[order]
-    apart = T.mix(np.arange(y.size, dtype=np.uint64)) % np.uint64(3) == 0
+    x, y, apart = x[order], y[order], table["apart"].to_numpy(bool)[order]
     forest = fit(x[~apart], y[~apart], MONOTONE, trees=50, depth=3)
     knots, levels = isotonic(forest.margin(x[apart]), y[apart])
     return Model(lexicon, forest, knots, levels)
