@@ -3,7 +3,9 @@
 The vocabulary drops white space and never joins across it, so any ASCII white space is a safe
 boundary: a text is the sum of its space-free chunks, however long it is. Equal chunks of a
 batch are encoded once, and the chunks sent to the library are grouped by bytes. Null and
-empty texts have no tokens. Each input row gives one row.
+empty texts have no tokens. Each input row gives one row, a null id and repeated rows included;
+other columns do not matter; an empty table gives none. A chunk without white space is one call's
+business, however long: no other boundary is safe.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ class Counter:
         self.encoder.no_truncation()
         self.encoder.no_padding()
         self.known: dict[int, int] = {}
+        if any(len(self.encoder.encode(f"x{c}y", add_special_tokens=False)) != 2 * len(self.encoder.encode("x", add_special_tokens=False)) for c in " \t\n\v\f\r"):
+            raise ValueError("this vocabulary does not drop white space, so texts can't be cut there")
 
     def encode(self, chunks: list[str]) -> list[int]:
         counts: list[int] = []
@@ -49,7 +53,7 @@ class Counter:
         size = 0
         for chunk in chunks:
             call.append(chunk)
-            size += len(chunk) + 16
+            size += len(chunk.encode("utf-8")) + 16
             if size >= CALL_BYTES:
                 counts += [len(e) for e in self.encoder.encode_batch(call, add_special_tokens=False)]
                 call, size = [], 0
