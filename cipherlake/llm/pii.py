@@ -7,11 +7,14 @@ of a term's texts that hold the entity drawn towards the entity's share of all t
 ``PRIOR`` texts more, so entities and terms seen once count too, but less surely. A term whose
 information about an entity reaches a share of the entity's own information content
 (``DISCLOSURE``) is sanitised wherever it stands in a document that holds the entity: removed if
-it all but names the entity (``REMOVAL``), else generalised. A document that holds the term but
-not the entity is left as it is.
-
-Null and empty texts have no spans. Each input row gives one row; rows of one text
-get the same spans. Offsets are code points, end exclusive.
+it all but names the entity (``REMOVAL``), else generalised to its form (a number, initials, a
+name, a word), which many terms share. A document that holds the term but not the entity is left
+as it is.
+
+Null and empty texts have no spans. Each input row gives one row; rows of one text get the same
+spans, whatever their ids (null ones too); an empty table gives none; extra columns are kept as
+they are. Offsets are code points, end exclusive. A term's places in a text are listed once, so a
+long text takes room in proportion to its length.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Texts by which the smoothed share of a term is drawn to the entity's share of all texts.
 PRIOR = 1.0
 DISCLOSURE, REMOVAL = 0.9, 0.98
+#: Characters of a term at least: many names have two.
+LEAST_TERM = 2
+#: What stands for a term that is generalised, by its form in the text.
+FORMS = (("NUMBER", re.compile(r"[^0-9]*[0-9]")), ("INITIALS", re.compile(r"[A-Z]{2,}\Z")), ("NAME", re.compile(r"[A-Z]|[^\x00-\x7f]")), ("WORD", re.compile("")))
 #: Bits of the filter that spares the corpus count most other words: its size is fixed.
 FILTER_BITS = 22
 
@@ -104,7 +111,7 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         a, b = m.span()
         while k < len(inside) and inside[k][1] <= a:
             k += 1
-        if (k == len(inside) or b <= inside[k][0]) and 3 <= b - a and _LETTER.search(m[0]):
+        if (k == len(inside) or b <= inside[k][0]) and b - a >= LEAST_TERM and _LETTER.search(m[0]):
             places.setdefault(m[0], []).append(a << 32 | b)
     return [{"term": term, "places": at} for term, at in places.items()]
 
@@ -244,12 +251,17 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(listed != "", listed)).alias("spans"))
 
 
+def general(term: str) -> str:
+    """The form of a term, in brackets."""
+    return next(f"<{name}>" for name, form in FORMS if form.match(term))
+
+
 def sanitise_text(text: str | None, terms: list[dict] | None = None) -> str | None:
-    """The text with entities and disclosing terms replaced by their kinds, or removed."""
+    """The text with entities replaced by their kinds, and disclosing terms by their forms or removed."""
     if text is None:
         return None
     cuts = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base_spans(text)]
-    cuts += [(t["a"], t["b"], "" if t["action"] == "removed" else "<TERM>") for t in terms or ()]
+    cuts += [(t["a"], t["b"], "" if t["action"] == "removed" else general(text[t["a"] : t["b"]])) for t in terms or ()]
     out, done = [], 0
     for a, b, name in sorted(cuts, key=lambda c: (c[0], -c[1])):
         if a >= done:
