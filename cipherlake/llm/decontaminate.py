@@ -4,13 +4,13 @@ An item's windows are its runs of ten words (the whole item if it has fewer). A
 in a document only if each of its word pairs does, so its rarest pair, by counts over the whole
 corpus, is the necessary prefix: documents' pairs are joined with rarest pairs only. The pair's
 place in the window bounds the place of the window, which must fit in the document, and the ten
-words there are compared exactly. Windows are few by nature; their number is checked, and they
-are broadcast up to ``BROADCAST_WINDOWS``, beyond which pairs are joined by shuffle and checked
-against the documents fetched again by id.
+words there are compared exactly. Windows are few by nature; their size is checked, and they
+are broadcast up to ``BROADCAST_BYTES``, beyond which pairs are joined by shuffle and checked
+against the documents fetched again by id; the result is the same.
 
 Null and empty texts have no words; null and word-free items have no windows. Each document row
-gives one row; rows that share an id share their hits, and rows without an id have those of
-their own text.
+gives one row with the hits of its own text, whether its id is null, unique or shared. Empty
+tables give no rows and no hits. Extra columns are kept by ``remove`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: Windows up to this number are broadcast: with ten words each, some tens of MB.
-BROADCAST_WINDOWS = 100_000
+#: Windows of up to so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,8 +38,8 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _key(doc_id: Column, text: Column) -> Column:
-    """The id of a document; where it is null, a hash of the text."""
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(text.cast("string")))
+    """What tells document rows apart: id and text; never null."""
+    return F.struct(F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64(text.cast("string")).alias("text"))
 
 
 def _pairs(w: Column) -> Column:
@@ -55,12 +55,13 @@ def _positions(docs: DataFrame) -> DataFrame:
     return listed.select("doc_id", "w", F.posexplode("w").alias("p", "first")).withColumn("pos", F.col("p") + 1).withColumn("second", F.get("w", F.col("pos")))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BROADCAST_WINDOWS) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, pos, len): where each window occurs."""
     from .shared import written
 
     found = written(windows(items, size), "windows")
-    small = found.count() <= limit
+    size_of = F.aggregate("window", F.lit(32).cast("long"), lambda a, w: a + F.octet_length(w) + 16)
+    small = (found.agg(F.sum(size_of)).first()[0] or 0) <= limit
     hint = F.broadcast if small else (lambda df: df)
     pairs = found.select("item_id", "window", F.inline(_pairs(F.col("window"))))
     keys = pairs.select("first", "second").distinct()
@@ -88,7 +89,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: in
     return hits
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("key", _key(F.col("doc_id"), F.col("text")))
