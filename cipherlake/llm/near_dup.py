@@ -16,8 +16,10 @@ similarity. No pair that could still join
 two components is left out.
 
 Null, empty and word-free texts have empty sets and link with nothing; fewer than four words
-are one shingle. Each input row gives one row; rows that share an id but not a text are
-linked with whatever any of their texts is linked with. A row without id stands alone.
+are one shingle. Each input row gives one row. An id with several texts reaches what any text of
+which it is the least id is linked with. A row without id is linked like any other, but has no id to lend: its
+component is the least id of those it is linked with, null if none has one, and it is kept only
+if none has one and its set stands for the component. ``keep`` leaves one of equal rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHINGLE, PERCENT = 4, 80
 HASHES, CHUNKS, DISTANCE = 48, 12, 23
 #: Longs in the bitmap of a set.
 BITMAP = 16
+#: Parts that the members of a hub are dealt into.
+SALTS = 16
 #: Rounds that compare documents with the most central members of their buckets.
 HUB_ROUNDS = 2
 
@@ -75,7 +79,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return value, np.searchsorted(owner, np.arange(n + 1))
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
+#: From here on numbers stand for sets that only rows without id have.
+NAMELESS = 1 << 62
+
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, signature array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -97,9 +104,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                         least = np.minimum.reduceat((value ^ (value >> np.uint64(32))) * _MUL[k] + _ADD[k], begin)
                         sign[full, k] = (T.mix(least) & np.uint64(0xFFFF)).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(size.size + 1, dtype=np.int32) * HASHES), pa.array(sign.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), flat], names=[c.split()[0] for c in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), flat], names=[c.split()[0] for c in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, SIGNED)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -195,12 +202,15 @@ def label(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_a, set_b) of every row, and (set_a, set_b, n, comp) of every class of equal sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text_hash, n_shingles, set_a, set_b) of every row, and (set_a, set_b, n, rep, comp) of every class of equal sets."""
+    docs = narrow(docs)
     signed = written(signatures(docs), "signatures")
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes")
+    filled = signed.where("n_shingles > 0")
+    # the row that stands for a class: the least id, then the least text
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NAMELESS)).alias("id"), "text_hash")).alias("first")
+    named = F.when(F.col("first.id") < NAMELESS, F.col("first.id")).otherwise(F.lit(NAMELESS) + F.pmod(F.xxhash64("set_a", "set_b"), F.lit(1 << 61)))
+    classes = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(first, F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("rep", named), "classes")
     keys = index_keys(classes)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     # a member that meets many others, over all its keys, is central
@@ -208,7 +218,9 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     central = keys.groupBy("rep").agg(F.sum("members").alias("met"))
     members = keys.select("key", "at", "rep")
     about = classes.join(central, "rep").select("rep", "n", "signature", "met")
-    texts = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    stands = classes.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), "rep")
+    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(NAMELESS))).join(stands, ["id", "text_hash"]).select("rep", "text")
+    classes = classes.drop("first")
     links, current = None, about.withColumn("comp", F.col("rep"))
     for turn in range(HUB_ROUNDS):
         placed = members.select("key", "rep").join(current.select("rep", "met", "comp"), "rep")
@@ -230,15 +242,17 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_allowed('x', 'y')} and {_near('x', 'y')} and x.at = {_first_shared('x', 'y')}"
     pairs = x.join(y, F.expr(other)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = _more(links, confirm(texts, written(pairs, "pairs"), sets))
-    final = label(classes, links).select("set_a", "set_b", "n", "comp")
+    final = label(classes, links).select("set_a", "set_b", "n", "rep", "comp")
     return signed, final
 
 
 def _candidates(star: DataFrame, current: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components whose signatures are near."""
     x = current.select(F.col("rep"), F.struct("n", "signature", "comp").alias("x"))
-    y = current.select(F.col("rep").alias("hub"), F.struct("n", "signature", "comp").alias("y"))
-    near = star.join(x, "rep").join(y, "hub").where("x.comp <> y.comp").where(_near("x", "y"))
+    # a hub may be met by a large part of all members: its row is there once for each salt
+    hubs = current.join(star.select(F.col("hub").alias("rep")).distinct(), "rep").select(F.col("rep").alias("hub"), F.struct("n", "signature", "comp").alias("y"))
+    y = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = star.join(x, "rep").withColumn("salt", F.pmod("rep", F.lit(SALTS)).cast("int")).join(y, ["hub", "salt"]).where("x.comp <> y.comp").where(_near("x", "y"))
     return written(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
 
 
@@ -247,18 +261,37 @@ def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if links is None else links.unionByName(new)
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of every row."""
+    signed, final = analyse(docs)
+    rows = signed.drop("signature").join(final.withColumnRenamed("n", "n_shingles"), ["set_a", "set_b", "n_shingles"], "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NAMELESS, F.col("comp"))
+    kept = F.when(F.col("comp").isNull(), F.lit(True)).when(F.col("doc_id").isNull(), (F.col("comp") >= NAMELESS) & (F.col("comp") == F.col("rep"))).otherwise(F.col("comp") == F.col("doc_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    signed, final = analyse(docs)
-    rows = signed.drop("signature").join(final.select("set_a", "set_b", F.col("n").alias("n_shingles"), "comp"), ["set_a", "set_b", "n_shingles"], "left")
-    component = F.coalesce("comp", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return judged(docs).drop("text_hash")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of least id, with all its columns."""
-    gone = report(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each component, that of least id, with all its columns; texts without words all stay, but for equal rows."""
+    rows = written(judged(docs), "judged")
+    key = ["__id", "__text"]
+    ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)).alias(key[0]), F.col("text_hash").alias(key[1])]
+    gone = rows.where(~F.col("kept")).select(*ids).distinct()
+    # rows with equal id and text are equal to this operator: the few that come again are thinned out apart
+    again = rows.where("kept").groupBy(*ids).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*key)
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)), key[1]: F.xxhash64(F.col("text").cast("string"))}).join(gone, key, "left_anti")
+    if again.isEmpty():
+        return keyed.select(*docs.columns)
+    once = keyed.join(again, key, "left_anti").unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key))
+    return once.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
