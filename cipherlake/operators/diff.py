@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cipherlake.sources.tables import written
+
 
 def diff_assets(before: DataFrame, after: DataFrame, key: str = "id", facts: str = "facts") -> DataFrame:
     """(key, status): unchanged, changed, added, or unresolved for what only the earlier run has."""
@@ -59,15 +61,16 @@ def reviewed(results: DataFrame, allowances: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(root, node): everything reachable over (src, dst), cycles too. Runs at once, until a round finds nothing new; more than ``rounds`` is an error."""
-    reach = new = roots.select(F.col("node").alias("root"), "node").distinct().localCheckpoint()
+    """(root, node): everything reachable over (src, dst), cycles too. Semi-naive rounds, each a written table, until one finds nothing new; more than ``rounds`` is an error."""
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    reach = new = written(roots.select(F.col("node").alias("root"), "node").distinct(), "reach")
     done = 0
     while not new.isEmpty():
         if rounds is not None and done > rounds:
             raise ValueError(f"nodes further away than {rounds} edges")
-        step = new.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        step = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         known = reach.select(F.col("root").alias("r"), F.col("node").alias("n"))
-        new = step.join(known, F.col("root").eqNullSafe(F.col("r")) & F.col("node").eqNullSafe(F.col("n")), "left_anti").localCheckpoint()
-        reach = reach.union(new).localCheckpoint()
+        new = written(step.join(known, F.col("root").eqNullSafe(F.col("r")) & F.col("node").eqNullSafe(F.col("n")), "left_anti"), "reach")
+        reach = reach.union(new)  # a union of written tables: no work is repeated
         done += 1
     return reach

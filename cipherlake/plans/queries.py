@@ -468,17 +468,24 @@ def fn_line_col_mask(spark, sf_dir):
 
 
 def _sql_redact(x: str) -> str:
-    steps = [(S.USERINFO_PATTERN, rf"\1{S.USERINFO}@"), (S.QUERY_PATTERN, rf"\1{S.VALUE}"), (S.KEYWORD_PATTERN, "\\1\x01\\2\x02\\3"), (S.DOUBLE_PATTERN, rf'\1"{S.VALUE}"\2'), (S.SINGLE_PATTERN, rf"\1'{S.VALUE}'\2"), (S.SCHEME_PATTERN, "\\1\\2 \x01" + S.VALUE + "\\3"), (S.BARE_PATTERN, rf"\1{S.VALUE}\3")]
+    """The same two passes for an engine without lookahead: what ends a value is taken and put back."""
+    mark, stop = "\ue000", S.STOP.replace("(?:", "(", 1)
+    steps = [
+        (S.LOGIN, rf"\1{S.USERINFO}@"), (S.PARAMETER, rf"\1{S.VALUE}"), (S.NAMED, rf"\0{mark}"),
+        (rf'{mark}"(?:\\.|[^"\\])*"{stop}', rf'"{S.VALUE}"\1'), (rf"{mark}'(?:\\.|[^'\\])*'{stop}", rf"'{S.VALUE}'\1"),
+        (rf"(?i){mark}(bearer|basic)\s+[-a-z0-9._~+/=]+{stop}", rf"\1 {S.VALUE}\2"), (rf"(?i){mark}({'|'.join(S.CODE_WORDS)}){stop}", r"\1\2"), (rf"(?i){mark}[-a-z0-9_+/=]+{stop}", rf"{S.VALUE}\1"),
+    ]
     out = x
-    for pattern, new in steps:
-        new = _quoted(new).replace("\x01", "' || chr(1) || '").replace("\x02", "' || chr(2) || '")
-        out = f"regexp_replace({out}, {_quoted(pattern)}, {new}, 'g')"
-    return f"CASE WHEN regexp_matches({x}, {_quoted(S.PRIVATE_PATTERN)}) THEN {_quoted(S.PRIVATE)} WHEN regexp_matches({x}, {_quoted(S.BASE64_PATTERN)}) THEN {_quoted(S.SENSITIVE)} WHEN NOT (contains({x}, '=') OR contains({x}, ':')) THEN {x} ELSE replace(replace({out}, chr(1), ''), chr(2), '') END"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    encoded = rf"regexp_matches(trim({x}), '^[A-Za-z0-9+/=_-]{{64,}}$') AND (trim({x}) LIKE 'MII%' OR trim({x}) LIKE '%=')"
+    return f"CASE WHEN regexp_matches({x}, {_quoted(S.PRIVATE_MARKER)}) THEN {_quoted(S.PRIVATE_MATERIAL)} WHEN {encoded} THEN {_quoted(S.SENSITIVE)} ELSE replace({out}, '{mark}', '') END"
 
 
-@query(f"WITH {_FILES}, {_LINES} SELECT path, line, {_sql_redact('content')} AS clean FROM lines WHERE contains(content, ':') OR contains(content, '=') OR contains(content, 'KEY')")
+@query(f"WITH {_FILES}, {_LINES} SELECT path, line, {_sql_redact('content')} AS clean FROM lines")
 def fn_redact_text(spark, sf_dir):
-    rows = X.lines(files(spark, sf_dir)).where("contains(content, ':') or contains(content, '=') or contains(content, 'KEY')")
+    """Every line, redacted."""
+    rows = X.lines(X.corpus(table(spark, sf_dir, "documents")))
     return rows.select("path", "line", S.redact_text(F.col("content")).alias("clean"))
 
 
