@@ -12,8 +12,8 @@ Large groups of near copies are not paired out. First every document is compared
 central member of its buckets only, then with one of each other component that it meets, and
 linked documents are merged; then only members outside their bucket's largest component are
 compared with the members of other components, each pair once, if bitmaps of their sets allow the
-similarity. No pair that could still join
-two components is left out.
+similarity. Large buckets are divided by set size and dealt out in parts. No pair that could
+still join two components is left out.
 
 Null, empty and word-free texts have empty sets and link with nothing; fewer than four words
 are one shingle. Each input row gives one row. An id with several texts reaches what any text of
@@ -40,6 +40,8 @@ HASHES, CHUNKS, DISTANCE = 48, 12, 23
 BITMAP = 16
 #: Parts that the members of a hub are dealt into.
 SALTS = 16
+#: Members from which on a bucket is large, and its compared members in one part.
+LARGE = 128
 #: Rounds that compare documents with the most central members of their buckets.
 HUB_ROUNDS = 2
 
@@ -233,13 +235,19 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         current = written(label(about, links), "labels")
     placed = members.join(current.select("rep", "comp"), "rep")
     sized = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    main = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("c") - F.max("c")).alias("others"), F.sum("c").alias("all")).where("parts > 1").drop("parts")
     open_members = written(placed.join(main, "key"), "open")
     sets = written(shingle_sets(texts.join(open_members.select("rep").distinct(), "rep", "left_semi")), "sets")
     bits = sets.select("rep", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
     rest = open_members.join(current.select("rep", "n", "signature"), "rep").join(bits, "rep")
-    x, y = rest.where("comp <> main").alias("x"), rest.alias("y")
-    other = f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_allowed('x', 'y')} and {_near('x', 'y')} and x.at = {_first_shared('x', 'y')}"
+    # a large bucket is divided: by set size, as similar sets are of the same or the next band, and its compared members into parts
+    large, band = F.col("all") > LARGE, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
+    parts = F.ceil(F.col("others") / LARGE)
+    whole = F.lit(0).cast("long")
+    x = rest.where("comp <> main").withColumns({"band": F.when(large, band).otherwise(whole), "salt": F.when(large, F.pmod("rep", parts)).otherwise(whole)}).alias("x")
+    bands = F.when(large, F.array(band - 1, band, band + 1)).otherwise(F.array(whole))
+    y = rest.withColumn("band", F.explode(bands)).withColumn("salt", F.explode(F.when(large, F.sequence(whole, parts - 1)).otherwise(F.array(whole)))).alias("y")
+    other = f"x.key = y.key and x.band = y.band and x.salt = y.salt and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_allowed('x', 'y')} and {_near('x', 'y')} and x.at = {_first_shared('x', 'y')}"
     pairs = x.join(y, F.expr(other)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = _more(links, confirm(texts, written(pairs, "pairs"), sets))
     final = label(classes, links).select("set_a", "set_b", "n", "rep", "comp")

@@ -155,3 +155,11 @@ def test_recall_at_the_threshold(spark):
         want[2 * k + 1] = 100 * len(a & b) >= 80 * len(a | b)
     got = {x["doc_id"]: x["component_id"] == x["doc_id"] - 1 for x in near_dup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["doc_id"] % 2}
     assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_divided_buckets_lose_nothing(spark, monkeypatch):
+    """With every bucket treated as large the links are those of the plain version."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(near_dup, "LARGE", 1)
+    want = brute.near([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.report(docs).collect()} == want
