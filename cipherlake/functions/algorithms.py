@@ -153,10 +153,10 @@ def candidates(assessed: DataFrame, use_case: str | None = None) -> DataFrame:
 
 
 def policy_summary(decided: DataFrame, complete: bool) -> DataFrame:
-    """One row; passing needs completeness that a static scan never has, so it is never ``pass``."""
-    del complete
-    fail = F.coalesce(F.bool_or(F.col("decision") == "fail"), F.lit(False))
-    return decided.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "fail").alias("failing"), F.when(fail, "fail").otherwise("indeterminate").alias("decision"))
+    """One row; it passes only if everything does and the inspection was complete, which a static scan never is."""
+    has = lambda d: F.coalesce(F.bool_or(F.col("decision") == d), F.lit(False))
+    decision = F.when(has("fail"), "fail").when(F.lit(complete) & has("pass") & ~has("indeterminate"), "pass").otherwise("indeterminate")
+    return decided.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "fail").alias("failing"), decision.alias("decision"))
 
 
 #: Recommended actions: (id, priority, title, condition over findings).

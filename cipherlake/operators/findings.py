@@ -24,9 +24,10 @@ def detect(files: DataFrame, rules: tuple[R.Rule, ...] = R.PACK) -> DataFrame:
 
     The rules are unrolled into literal patterns, which are compiled once for each task."""
     used = [r for r in R.validate(list(rules)) if r.kind in ("regex", "key")]
-    hot = F.greatest(*(F.col("text").rlike(r.pattern).cast("int") for r in used)) if len(used) > 1 else F.col("text").rlike(used[0].pattern).cast("int")
-    rows = sources.lines(files.where(hot == 1))
-    marked = lambda r: F.when(F.col("content").rlike(r.pattern), F.split(F.regexp_replace("content", r.pattern, "\u0001$0\u0002"), "\u0001"))
+    # the rules that hit a text at all: its lines are tried for these only
+    hit = F.array_compact(F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(r.id)) for r in used)))
+    rows = sources.lines(files.withColumn("hit", hit).where(F.size("hit") > 0), "hit")
+    marked = lambda r: F.when(F.array_contains("hit", r.id) & F.col("content").rlike(r.pattern), F.split(F.regexp_replace("content", r.pattern, "\u0001$0\u0002"), "\u0001"))
     each = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.scope).alias("scope"), F.lit(2 if r.kind == "regex" else 5).alias("detector_seq"), marked(r).alias("parts")) for r in used))
     found = rows.select("path", "file_seq", "line", "content", F.inline(F.filter(each, lambda x: x["parts"].isNotNull())))
     found = found.where((F.col("kind") == "key") | ~comment_only(F.col("path"), F.col("content")))
@@ -41,7 +42,7 @@ def detect(files: DataFrame, rules: tuple[R.Rule, ...] = R.PACK) -> DataFrame:
 
 
 def capped(detections: DataFrame, cap: int = HIT_CAP) -> DataFrame:
-    """The first hits of each rule and file; ``truncated`` says whether there were more."""
+    """The first hits of each rule and file; ``truncated`` says whether there were more. ``scan`` itself reports every hit: the bound is there for reports that ask for it."""
     by = Window.partitionBy("rule_id", "path")
     ranked = detections.withColumn("rn", F.row_number().over(by.orderBy("line", "column"))).withColumn("truncated", F.count(F.lit(1)).over(by) > cap)
     return ranked.where(F.col("rn") <= cap).drop("rn")
@@ -52,10 +53,10 @@ def findings(detections: DataFrame, rules: DataFrame) -> DataFrame:
     joined = detections.join(F.broadcast(rules.withColumnRenamed("id", "rule_id")), "rule_id")
     masked = S.mask_preview(F.col("match"))
     named = joined.withColumn("match", masked).withColumn("finding_id", S.native_id("finding", F.col("rule_id"), F.col("path"), F.col("line"), F.col("column"), masked))
-    first = Window.partitionBy("finding_id").orderBy("file_seq", "detector_seq", "line", "column")
     severity = S.adjusted_severity(F.col("category"), F.col("risk"), F.col("confidence"), F.col("severity"), F.col("evidence_type"))
-    once = named.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    return once.select("finding_id", "rule_id", "category", "risk", severity.alias("severity"), F.col("confidence").cast("double").alias("confidence"), "migration_hint", "description", "path", "line", "column", "match", "evidence_type", "file_seq")
+    row = F.struct("rule_id", "category", "risk", severity.alias("severity"), F.col("confidence").cast("double").alias("confidence"), "migration_hint", "description", "path", "line", "column", "match", "evidence_type", "file_seq")
+    # the first by pipeline order: aggregated before the shuffle, without a sort
+    return named.groupBy("finding_id").agg(F.min_by(row, F.struct("file_seq", "detector_seq", "line", "column")).alias("f")).select("finding_id", "f.*")
 
 
 def scan(spark: SparkSession, files: DataFrame, rules: tuple[R.Rule, ...] = R.PACK) -> DataFrame:
@@ -135,15 +136,25 @@ def coverage(files: DataFrame, detections: DataFrame) -> DataFrame:
     return counts.crossJoin(hits).withColumn("status", F.when(F.col("enumerated") == 0, "unknown").otherwise("complete_within_scope"))  # one row with one row
 
 
-def private_ranges(rows: DataFrame) -> DataFrame:
-    """(path, first, last): lines of key blocks; a block that never ends runs to the last line."""
-    by = Window.partitionBy("path").orderBy("line")
-    begin, end = F.col("content").rlike(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), F.col("content").rlike(r"-----END [A-Z ]*PRIVATE KEY-----")
-    held = rows.groupBy("path").agg(F.bool_or(begin).alias("any")).where("any").select("path")
-    numbered = rows.join(held, "path", "left_semi").select("path", "line", begin.alias("b"), end.alias("e"))
-    opened = numbered.withColumn("block", F.sum(F.col("b").cast("int")).over(by)).where("block > 0")
-    spans = opened.groupBy("path", "block").agg(F.min("line").alias("first"), F.min(F.when(F.col("e"), F.col("line"))).alias("closed"), F.max("line").alias("final"))
-    return spans.select("path", "first", F.coalesce("closed", "final").alias("last"))
+def private_ranges(files: DataFrame) -> DataFrame:
+    """(path, first, last): lines of key blocks; a block that never ends runs to the line before the next, or the last. Only files with a block are split into lines, and each within its row."""
+    begins, ends = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+    held = files.where(F.col("text").rlike(begins)).select("path", F.split("text", "\n").alias("p"))
+    held = held.select("path", F.when(F.element_at("p", -1) == "", F.slice("p", F.lit(1), F.size("p") - 1)).otherwise(F.col("p")).alias("p"))
+    span = "struct<first:int,last:int>"
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.array().cast(f"array<{span}>").alias("out"))
+
+    def closed(s: Column, end: Column) -> Column:
+        """The spans so far, with the open one, which goes to its end or to the given line."""
+        here = F.struct(s["first"].alias("first"), F.when(s["last"] > 0, s["last"]).otherwise(end).alias("last")).cast(span)
+        return F.when(s["first"] > 0, F.array_append(s["out"], here)).otherwise(s["out"])
+
+    def step(s: Column, text: Column) -> Column:
+        line, b, e = s["line"] + 1, text.rlike(begins), text.rlike(ends)
+        last = F.when(b, F.when(e, line).otherwise(0)).when(e & (s["first"] > 0) & (s["last"] == 0), line).otherwise(s["last"])
+        return F.struct(line.alias("line"), F.when(b, line).otherwise(s["first"]).alias("first"), last.alias("last"), F.when(b, closed(s, s["line"])).otherwise(s["out"]).alias("out"))
+
+    return held.select("path", F.inline(F.aggregate("p", start, step, lambda s: closed(s, s["line"]))))
 
 
 def in_private_range(found: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -60,3 +60,9 @@ def losses(bindings: DataFrame, found: DataFrame) -> DataFrame:
 def only_related(edges: DataFrame, kind: str) -> DataFrame:
     """(src, dst) of sources with exactly one relation of the kind."""
     return edges.where(F.col("relationship") == kind).groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.min("dst").alias("dst")).where("c = 1").select("src", "dst")
+
+
+def method_triple(observed: DataFrame) -> DataFrame:
+    """Observations with the name, assurance and usage of the method they were made by."""
+    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in METHODS.items() for x in (k, v[i]))), F.col("method"))
+    return observed.withColumns({n: pick(i) for i, n in enumerate(("method_name", "assurance", "usage"))})

@@ -79,7 +79,10 @@ BASE = f"WITH {_FILES}, {_LINES}, {_DETECT}, {_FIND} "
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.corpus(table(spark, sf_dir, "documents"))
+    """The corpus. A table of fewer splits than there are cores is small: it is dealt out to all of them before detection."""
+    documents = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return X.corpus(documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +162,11 @@ def agg_file_tree(spark, sf_dir):
     return O.file_tree(found(spark, sf_dir))
 
 
-@query(BASE + 'SELECT path, line, col AS "column", string_agg(DISTINCT rule_id, \',\' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n FROM findings GROUP BY path, line, col HAVING count(DISTINCT rule_id) > 1')
+@query(BASE + ", two AS (SELECT path, line, col, rule_id FROM findings UNION ALL SELECT path, line, col, 'OTHER' FROM findings WHERE line % 2 = 0) SELECT path, line, col AS \"column\", string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n FROM two GROUP BY path, line, col HAVING count(DISTINCT rule_id) > 1")
 def join_same_location(spark, sf_dir):
-    return O.same_location(found(spark, sf_dir))
+    """Findings, and on even lines those of a second pack at the same places."""
+    f = found(spark, sf_dir)
+    return O.same_location(f.unionByName(f.where("line % 2 = 0").withColumn("rule_id", F.lit("OTHER"))))
 
 
 @query(BASE + f"SELECT coalesce(bool_or({_RANK('severity')} >= 4), false) AS fails FROM findings")
@@ -182,12 +187,12 @@ ranges AS (SELECT path, min(line) AS first, coalesce(min(line) FILTER (WHERE e),
 
 @query(f"WITH {_FILES}, {_LINES}, {_PRIVATE} SELECT path, first, last FROM ranges")
 def win_private_ranges(spark, sf_dir):
-    return O.private_ranges(X.lines(files(spark, sf_dir)))
+    return O.private_ranges(files(spark, sf_dir))
 
 
 @query(BASE + f", {_PRIVATE} SELECT finding_id, f.path, line FROM findings f WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = f.path AND f.line BETWEEN r.first AND r.last)")
 def join_privacy_interval(spark, sf_dir):
-    return O.in_private_range(found(spark, sf_dir), O.private_ranges(X.lines(files(spark, sf_dir)))).select("finding_id", "path", "line")
+    return O.in_private_range(found(spark, sf_dir), O.private_ranges(files(spark, sf_dir))).select("finding_id", "path", "line")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS k, CAST(l_partkey % 1000 AS INT) AS first, CAST(l_partkey % 1000 + l_suppkey % 50 AS INT) AS last FROM lineitem),
@@ -284,10 +289,11 @@ def join_related(spark, sf_dir):
     return I.only_related(I.relations(observed(spark, sf_dir)), "uses")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS relationship WHERE false")
+@query(BASE + f", {_DRAFT} SELECT DISTINCT {sql_id('usage', 'path')} AS src, 'uses' AS relationship, {sql_id('algorithm', 'match')} AS dst FROM keyed WHERE match = 'RS256'")
 def join_integrity(spark, sf_dir):
+    """Relations to an asset that has been taken out."""
     seen = observed(spark, sf_dir)
-    return I.dangling(I.relations(seen), I.assets(seen))
+    return I.dangling(I.relations(seen), I.assets(seen).where("identifier <> 'RS256'")).select("src", "relationship", "dst")
 
 
 _BIND = ', b AS (SELECT rule_id, path, line, col, match, CAST(line % 2 AS VARCHAR) || \'-\' || rule_id AS oid FROM findings WHERE col % 3 <> 0)'
@@ -341,10 +347,10 @@ def set_intersect(spark, sf_dir):
     return b.select("id").intersect(a.select("id"))
 
 
-@query(f"WITH {_RUNS} SELECT id FROM b EXCEPT SELECT id FROM a")
+@query(f"WITH {_RUNS} SELECT id FROM b EXCEPT SELECT id FROM a WHERE id NOT LIKE '%7:%'")
 def set_except(spark, sf_dir):
     b, a = runs(spark, sf_dir)
-    return b.select("id").exceptAll(a.select("id"))
+    return b.select("id").exceptAll(a.where("id not like '%7:%'").select("id"))
 
 
 _OCC = lambda k: f"(SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(event_id // 4 AS VARCHAR) || '-' || CAST((event_id % 4 + {k}) % 3 AS VARCHAR) END AS occurrence_key, event_type AS facts, CAST(event_id // 4 AS VARCHAR) AS anchor, 'd' || ((user_id + {k} * (event_id % 2)) % 50) AS path, event_type AS signature FROM events WHERE event_id % 4 = {k})"
@@ -376,11 +382,22 @@ def join_moves(spark, sf_dir):
     return D.moves(*occurrences(spark, sf_dir))
 
 
-@query("SELECT 'profile,scanner_version' AS changed, CAST(2 AS INT) AS n")
+_RECORD = lambda k: f"(SELECT min(event_type) AS scope, sha256(CAST(count(*) AS VARCHAR)) AS rules_digest, max(event_type) AS profile, CAST(count(DISTINCT user_id) AS VARCHAR) AS scanner_version, CAST(NULL AS VARCHAR) AS catalog_version, CAST(max(event_id) AS VARCHAR) AS coverage_status, 'o' AS options_digest FROM events WHERE event_id % 3 = {k})"
+
+
+@query(f"SELECT array_to_string(c, ',') AS changed, CAST(len(c) AS INT) AS n FROM (SELECT list_filter([{', '.join(f'CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN {_quoted(c)} END' for c in D.DRIFT)}], lambda x: x IS NOT NULL) AS c FROM {_RECORD(0)} b, {_RECORD(1)} a)")
 def agg_drift(spark, sf_dir):
-    schema = ", ".join(f"{c} string" for c in D.DRIFT)
-    one = lambda *v: spark.createDataFrame([v], schema)
-    return D.drift(one("r", "d", "p", "1", None, "c", "o"), one("r", "d", "q", "2", None, "c", "o"))
+    """The records of two runs over thirds of the events."""
+    e = table(spark, sf_dir, "events")
+
+    def record(k):
+        text = lambda c: c.cast("string")
+        return e.where(F.col("event_id") % 3 == k).agg(
+            F.min("event_type").alias("scope"), F.sha2(text(F.count(F.lit(1))), 256).alias("rules_digest"), F.max("event_type").alias("profile"), text(F.countDistinct("user_id")).alias("scanner_version"),
+            F.lit(None).cast("string").alias("catalog_version"), text(F.max("event_id")).alias("coverage_status"), F.lit("o").alias("options_digest"),
+        )
+
+    return D.drift(record(0), record(1))
 
 
 _TRUTH = "rows AS (SELECT lang, source, CASE WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'negative' ELSE 'ambiguous' END AS label, {said} AS predicted FROM labels JOIN documents USING (doc_id))"
@@ -494,18 +511,29 @@ def fn_path_to_uri(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.path_to_uri(F.col("url")).alias("uri"))
 
 
-_IPS = ("8.8.8.8", "10.1.2.3", "192.168.0.1", "172.32.0.1", "127.0.0.1", "256.1.1.1", "1.2.3", "203.0.113.9", "100.63.255.255", "239.1.1.1")
+_OCTETS = "page_id * 7919 % 256 AS a, page_id * 104729 % 256 AS b, page_id * 31 % 256 AS c, page_id % 256 AS d"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{ip}', {str(ip not in ('8.8.8.8', '172.32.0.1', '100.63.255.255')).lower()})" for ip in _IPS) + ") t(ip, special)")
+@query(
+    f"""SELECT page_id, a || '.' || b || '.' || c || '.' || d AS ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2))
+    OR (a = 192 AND b = 88 AND c = 99) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) AS special FROM (SELECT page_id, {_OCTETS} FROM pages)"""
+)
 def fn_target_authorized(spark, sf_dir):
-    return spark.createDataFrame([(ip,) for ip in _IPS], "ip string").select("ip", S.special_address(F.col("ip")).alias("special"))
+    """Addresses dealt over all first octets: which of them no probe may address."""
+    k = F.col("page_id")
+    ip = F.concat_ws(".", *((k * m % 256).cast("string") for m in (7919, 104729, 31, 1)))
+    return table(spark, sf_dir, "pages").select("page_id", ip.alias("ip"), S.special_address(ip).alias("special"))
+
+
+#: Offered names and what they are, dealt over the pages.
+_OFFERED = (("kex", "curve25519-sha256", "classical"), ("kex", "sntrup761x25519-sha512@openssh.com", "hybrid"), ("kex", "mlkem768x25519-sha256", "hybrid"), ("kex", "ext-info-c", "marker"), ("kex", "own@vendor", "unknown"), ("host_key", "ssh-ed25519", "classical"), ("host_key", "rsa-sha2-512", "classical"), ("host_key", "mlkem768x25519-sha256", "unknown"))
+_OFFER = lambda i: f"[{_list(x[i] for x in _OFFERED)}][page_id % 8 + 1]"
 
 
-@query("SELECT * FROM (VALUES ('kex', 'curve25519-sha256', 'classical'), ('kex', 'sntrup761x25519-sha512@openssh.com', 'hybrid'), ('kex', 'mlkem768x25519-sha256', 'hybrid'), ('kex', 'ext-info-c', 'marker'), ('kex', 'own@vendor', 'unknown'), ('host_key', 'ssh-ed25519', 'classical'), ('host_key', 'rsa-sha2-512', 'classical'), ('host_key', 'mlkem768x25519-sha256', 'unknown')) t(kind, name, class)")
+@query(f"SELECT page_id, {_OFFER(0)} AS kind, {_OFFER(1)} AS name, {_OFFER(2)} AS class FROM pages")
 def fn_ssh_classify(spark, sf_dir):
-    names = [("kex", "curve25519-sha256"), ("kex", "sntrup761x25519-sha512@openssh.com"), ("kex", "mlkem768x25519-sha256"), ("kex", "ext-info-c"), ("kex", "own@vendor"), ("host_key", "ssh-ed25519"), ("host_key", "rsa-sha2-512"), ("host_key", "mlkem768x25519-sha256")]
-    return spark.createDataFrame(names, "kind string, name string").withColumn("class", A.ssh_name(F.col("kind"), F.col("name")))
+    pick = lambda i: F.get(F.array(*(F.lit(x[i]) for x in _OFFERED)), (F.col("page_id") % 8).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", pick(0).alias("kind"), pick(1).alias("name")).withColumn("class", A.ssh_name(F.col("kind"), F.col("name")))
 
 
 _RESULTS = "r AS (SELECT path, rule_id, line, col, sha256(match) AS digest, count(*) OVER (PARTITION BY path, rule_id, line, col, match) AS n, finding_id FROM findings), al AS (SELECT DISTINCT path, rule_id, line, col, digest, CASE WHEN rule_id = 'HASH_MD5' THEN 2 ELSE 1 END AS allowed FROM r WHERE rule_id IN ('HASH_MD5', 'JWT_RSA'))"
@@ -518,9 +546,13 @@ def join_reviewed_results(spark, sf_dir):
     return D.reviewed(results, allowed).select("finding_id")
 
 
-_GRAPH = [("app", "web"), ("app", "log"), ("web", "tls"), ("tls", "rand"), ("log", "rand"), ("rand", "web"), ("other", "x")]
+_TREE = "SELECT CAST(p_partkey AS VARCHAR) AS src, CAST(p_partkey // 2 AS VARCHAR) AS dst FROM part UNION ALL SELECT '0', '3'"
 
 
-@query("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(map(str, _GRAPH)) + "), r(root, node) AS (SELECT 'app', 'app' UNION SELECT root, dst FROM r JOIN e ON e.src = r.node) SELECT root, node FROM r")
+@query(f"WITH RECURSIVE e AS ({_TREE}), r(root, node) AS (SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 50 = 0 UNION SELECT root, dst FROM r JOIN e ON e.src = r.node) SELECT root, node FROM r")
 def agg_closure(spark, sf_dir):
-    return D.closure(spark.createDataFrame(_GRAPH, "src string, dst string"), spark.createDataFrame([("app",)], "node string"), 12)
+    """A tree of parts whose root leads back into it."""
+    part = table(spark, sf_dir, "part")
+    edges = part.select(F.col("p_partkey").cast("string").alias("src"), F.floor(F.col("p_partkey") / 2).cast("string").alias("dst"))
+    back = spark.createDataFrame([("0", "3")], "src string, dst string")
+    return D.closure(edges.unionByName(back), part.where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("string").alias("node")))

@@ -11,13 +11,23 @@ MAX_BYTES = 2 << 20
 #: Directories that are never scanned.
 EXCLUDED_DIRS = (".git", "node_modules", "target", "dist", "docs")
 #: Extensions of media, archives and binaries.
-KNOWN_EXTENSIONS = tuple(
-    "png jpg jpeg gif bmp ico webp tif tiff heic heif avif jxl jp2 icns psd dds cur tga exr ktx j2c pfm glb mp3 mp4 wav webm mov avi ogg oga flac woff woff2 ttf otf eot zip gz tgz tar xz lzma bz2 zst z br lz4 7z rar jar war ear egg whl wasm exe dll so dylib o obj class pyc pyc-tpl mo pb binpb desc pdf".split()
-)
+KNOWN_EXTENSIONS = (
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "tif", "tiff", "heic", "heif", "avif", "jxl", "jp2", "icns", "psd",
+    "dds", "cur", "tga", "exr", "ktx", "j2c", "pfm", "glb", "mp3", "mp4", "wav", "webm", "mov", "avi", "ogg", "oga",
+    "flac", "woff", "woff2", "ttf", "otf", "eot", "zip", "gz", "tgz", "tar", "xz", "lzma", "bz2", "zst", "z", "br",
+    "lz4", "7z", "rar", "jar", "war", "ear", "egg", "whl", "wasm", "exe", "dll", "so", "dylib", "o", "obj", "class",
+    "pyc", "pyc-tpl", "mo", "pb", "binpb", "desc", "pdf",
+)
 #: Extensions of keys and certificates, never left out for their content.
-CRYPTO_EXTENSIONS = tuple("pem crt cer der p12 pfx pkcs12 jks jceks bcfks keystore truststore keytab kbx key pub asc".split())
+CRYPTO_EXTENSIONS = (
+    "pem", "crt", "cer", "der", "p12", "pfx", "pkcs12", "jks", "jceks", "bcfks", "keystore", "truststore", "keytab", "kbx", "key", "pub", "asc",
+)
 #: Names of dependency manifests; *.gemspec is one too.
-MANIFESTS = tuple("Cargo.toml Cargo.lock Gemfile Gemfile.lock gems.rb gems.locked pom.xml build.gradle build.gradle.kts go.mod package.json package-lock.json pnpm-lock.yaml requirements.txt Pipfile.lock poetry.lock gradle.lockfile".split())
+MANIFESTS = (
+    "Cargo.toml", "Cargo.lock", "Gemfile", "Gemfile.lock", "gems.rb", "gems.locked",
+    "pom.xml", "build.gradle", "build.gradle.kts", "go.mod", "package.json", "package-lock.json",
+    "pnpm-lock.yaml", "requirements.txt", "Pipfile.lock", "poetry.lock", "gradle.lockfile",
+)
 CERTIFICATES = ("pem", "crt", "cer", "der", "p12", "pfx")
 LANGUAGES = {"java": "java", "go": "go", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "py": "python", "rs": "rust", "rb": "ruby"}
 
@@ -127,7 +137,7 @@ def select_files(files: DataFrame, limit: int = MAX_BYTES, include_all: bool = F
     return files.where(disposition(F.col("path"), F.col("size"), limit, include_all) == "selected")
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, file_seq, line, content): 1-based lines without carriage return, and no empty last line."""
-    split = files.select("path", "file_seq", F.posexplode(F.split("text", "\n")).alias("i", "content"), F.size(F.split("text", "\n")).alias("n"))
-    return split.where(~((F.col("i") == F.col("n") - 1) & (F.col("content") == ""))).select("path", "file_seq", (F.col("i") + 1).alias("line"), F.regexp_replace("content", r"\r$", "").alias("content"))
+def lines(files: DataFrame, *more: str) -> DataFrame:
+    """(path, file_seq, line, content) and more columns: 1-based lines without carriage return, and no empty last line."""
+    split = files.select("path", "file_seq", *more, F.posexplode(F.split("text", "\n")).alias("i", "content"), F.size(F.split("text", "\n")).alias("n"))
+    return split.where(~((F.col("i") == F.col("n") - 1) & (F.col("content") == ""))).select("path", "file_seq", *more, (F.col("i") + 1).alias("line"), F.regexp_replace("content", r"\r$", "").alias("content"))
