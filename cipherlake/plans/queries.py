@@ -490,7 +490,7 @@ def _sql_redact(x: str) -> str:
     steps = [
         (S.LOGIN, rf"\1{S.USERINFO}@"), (S.PARAMETER, rf"\1{S.VALUE}"), (S.NAMED, rf"\0{mark}"),
         (rf'{mark}"(?:\\.|[^"\\])*"{stop}', rf'"{S.VALUE}"\1'), (rf"{mark}'(?:\\.|[^'\\])*'{stop}", rf"'{S.VALUE}'\1"),
-        (rf"(?i){mark}(bearer|basic)\s+[-a-z0-9._~+/=]+{stop}", rf"\1 {S.VALUE}\2"), (rf"(?i){mark}({'|'.join(S.CODE_WORDS)}){stop}", r"\1\2"), (rf"(?i){mark}[-a-z0-9_+/=]+{stop}", rf"{S.VALUE}\1"),
+        (rf"(?i){mark}(bearer|basic)\s+[-a-z0-9._~+/=]+{stop}", rf"\1 {S.VALUE}\2"), (rf"(?i){mark}({'|'.join(S.CODE_WORDS)}){stop}", r"\1\2"), (rf"(?i){mark}((?:bearer|basic)\s+\[masked)", r"\1"), (rf"(?i){mark}[-a-z0-9_+/=]+{stop}", rf"{S.VALUE}\1"),
     ]
     out = x
     for pattern, to in steps:
