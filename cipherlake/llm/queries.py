@@ -16,4 +16,4 @@ QUERIES = {
     "op9_minhash_near_dedup": near_dup.query,
     "op10_secret_scans": secret_scan.query,
 }
-ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE}
