@@ -153,7 +153,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found = lines(html)
-    article = [(line, MARKED * len(line), solid) for line, inside, _, solid in found if line and inside]
+    # a paragraph or heading inside the mark is text however short: only other lines can make the sums dive there
+    article = [(line, max(MARKED * len(line), DIVE * solid), solid) for line, inside, _, solid in found if line and inside]
     if kept := bodies(article):
         return " ".join(kept)
     # no mark, or nothing surges inside it: the lines of the whole page; those that are mostly links are menus

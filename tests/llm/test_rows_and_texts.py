@@ -163,3 +163,35 @@ def test_divided_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "LARGE", 1)
     want = brute.near([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.report(docs).collect()} == want
+
+
+def test_pages_of_the_table(spark):
+    """Every page's text is that of a plain reader of its article."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("meta", "br"):
+                self.open.append((tag, dict(attrs).get("class") or ""))
+            self.out.append(" ") if tag not in ("b", "a") else None
+
+        def handle_endtag(self, tag):
+            while self.open and self.open.pop()[0] != tag:
+                pass
+            self.out.append(" ") if tag not in ("b", "a") else None
+
+        def handle_data(self, data):
+            tags = {t for t, _ in self.open}
+            if "article" in tags and not tags & {"script", "style", "nav", "footer", "aside", "form"} and not {c for _, c in self.open} & {"ad", "comments"}:
+                self.out.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r["html"] or "")
+        assert got[r["page_id"]] == " ".join("".join(reader.out).split()), r["page_id"]
