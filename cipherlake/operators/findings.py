@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,9 @@ def detect(files: DataFrame, rules: tuple[R.Rule, ...] = R.PACK) -> DataFrame:
     The rules are unrolled into literal patterns, which are compiled once for each task."""
     used = [r for r in R.validate(list(rules)) if r.kind in ("regex", "key")]
     # the rules that hit a text at all: its lines are tried for these only
-    hit = F.array_compact(F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(r.id)) for r in used)))
-    rows = sources.lines(files.withColumn("hit", hit).where(F.size("hit") > 0), "hit")
+    told = lambda r: reduce(or_, (F.contains("low", F.lit(h)) for h in r.hints)) if r.hints else F.lit(True)
+    hit = F.array_compact(F.array(*(F.when(told(r) & F.col("text").rlike(r.pattern), F.lit(r.id)) for r in used)))
+    rows = sources.lines(files.withColumn("low", F.lower("text")).withColumn("hit", hit).where(F.size("hit") > 0), "hit")
     marked = lambda r: F.when(F.array_contains("hit", r.id) & F.col("content").rlike(r.pattern), F.split(F.regexp_replace("content", r.pattern, "\u0001$0\u0002"), "\u0001"))
     each = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.scope).alias("scope"), F.lit(2 if r.kind == "regex" else 5).alias("detector_seq"), marked(r).alias("parts")) for r in used))
     found = rows.select("path", "file_seq", "line", "content", F.inline(F.filter(each, lambda x: x["parts"].isNotNull())))

@@ -63,7 +63,7 @@ _EXCLUDED = f"(list_has_any(string_split(lower(path), '/')[:-2], [{_list(X.EXCLU
 _DISPOSITION = f"CASE WHEN {_EXCLUDED} THEN 'excluded_directory' WHEN {_EXT} IN ({_list(X.KNOWN_EXTENSIONS)}) THEN 'known_extension' WHEN size > {X.MAX_BYTES} THEN 'over_size' ELSE 'selected' END"
 _COMMENT = rf"(CASE WHEN {_EXT} IN ({_list(O.SLASH_COMMENTS)}) THEN regexp_matches(content, '^\s*(//|/\*|\*)') WHEN {_EXT} IN ({_list(O.HASH_COMMENTS)}) THEN regexp_matches(content, '^\s*#') ELSE false END)"
 _RANK = lambda x: f"(list_position([{_list(S.SEVERITIES)}], {x}) - 1)"
-_RULES = ", ".join(f"({', '.join([*map(_quoted, r[:5]), str(r.confidence), *map(_quoted, r[6:])])})" for r in R.PACK)
+_RULES = ", ".join(f"({', '.join([*map(_quoted, r[:5]), str(r.confidence), *map(_quoted, r[6:10])])})" for r in R.PACK)
 _FILES = f"files AS (SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR), {_pick(0)}) AS path, coalesce(text, '') || chr(10) || {_pick(1)} AS text, doc_id AS file_seq, CAST(octet_length(encode(coalesce(text, '') || chr(10) || {_pick(1)})) AS BIGINT) AS size FROM documents)"
 _LINES = "split AS (SELECT path, file_seq, size, string_split(text, chr(10)) AS p FROM files), lines AS (SELECT path, file_seq, size, i AS line, regexp_replace(p[i], chr(13) || '$', '') AS content FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM split) WHERE NOT (i = len(p) AND p[i] = ''))"
 _DETECT = rf"""rules(rule_id, kind, category, severity, risk, confidence, migration_hint, pattern, scope, description) AS (VALUES {_RULES}),
