@@ -103,7 +103,7 @@ def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
 
 
 def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Each term of a text outside its entities, with every place as start times 2^32 plus end."""
+    """Each term of a text outside its entities, with where each of its occurrences starts."""
     low = text.translate(_LOW)
     inside, k = sorted((a, b) for _, a, b in spans), 0
     places: dict[str, list[int]] = {}
@@ -112,12 +112,12 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         while k < len(inside) and inside[k][1] <= a:
             k += 1
         if (k == len(inside) or b <= inside[k][0]) and b - a >= LEAST_TERM and _LETTER.search(m[0]):
-            places.setdefault(m[0], []).append(a << 32 | b)
+            places.setdefault(m[0], []).append(a)
     return [{"term": term, "places": at} for term, at in places.items()]
 
 
-FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms array<struct<term: string, places: array<bigint>>>"
-_ENTITIES, _TERMS = pa.list_(pa.string()), pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.int64()))]))
+FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms array<struct<term: string, places: array<int>>>"
+_ENTITIES, _TERMS = pa.list_(pa.string()), pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.int32()))]))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -232,8 +232,8 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     shown = disclosures(docs, found, texts)
     held = texts.select("text_hash", F.explode("entities").alias("entity")).join(shown, "entity").groupBy("text_hash", "term").agg(F.max("share").alias("share"))
-    hits = texts.select("text_hash", F.inline("terms")).join(held, ["text_hash", "term"]).select("text_hash", F.explode("places").alias("place"), "share")
-    item = F.struct(F.shiftright("place", 32).alias("a"), (F.col("place") % (1 << 32)).alias("b"), F.when(F.col("share") >= REMOVAL, "removed").otherwise("generalised").alias("action"))
+    hits = texts.select("text_hash", F.inline("terms")).join(held, ["text_hash", "term"]).select("text_hash", F.char_length("term").alias("size"), F.explode("places").alias("place"), "share")
+    item = F.struct(F.col("place").cast("long").alias("a"), (F.col("place") + F.col("size")).cast("long").alias("b"), F.when(F.col("share") >= REMOVAL, "removed").otherwise("generalised").alias("action"))
     return written(hits.groupBy("text_hash").agg(F.array_sort(F.collect_list(item)).alias("terms")), "terms")
 
 
