@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from .shared import table
 
 #: Pieces that a worker remembers at most, and pieces strung together for one call of the library.
 REMEMBERED, CHAIN = 400_000, 4096
@@ -221,4 +222,4 @@ def encode_decode(docs: DataFrame, path: str, split: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: ids and decoded bytes of every document, as digests."""
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), pattern())
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary(), pattern())

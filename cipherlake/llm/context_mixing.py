@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from .shared import written
+from .shared import table, written
 
 FOLDS, HELD = 7, 2
 #: Bits of a word code, and those of its class among them.
@@ -696,4 +696,4 @@ def score(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: model and base score of every document."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(table(spark, sf_dir, "documents"))

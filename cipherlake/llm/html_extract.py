@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from .shared import table
 
 #: Lines in a window, and the characters in one at which a body of text begins.
 WINDOW, SURGE = 3, 80
@@ -179,4 +180,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: main text of every page."""
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(table(spark, sf_dir, "pages"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from .shared import written
+from .shared import table, written
 
 SHINGLE, PERCENT = 4, 80
 HASHES, CHUNKS, DISTANCE = 48, 12, 23
@@ -304,7 +304,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: near-duplicate component of every document."""
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(table(spark, sf_dir, "documents"))
 
 
 #: Links over all pairs that share a shingle; a component is named by the least id that reaches its members over greater ones.

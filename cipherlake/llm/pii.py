@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from .shared import written
+from .shared import table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts by which the smoothed share of a term is drawn to the entity's share of all texts.
@@ -304,4 +304,4 @@ def sanitise(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: personal data of every document."""
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(table(spark, sf_dir, "documents"))

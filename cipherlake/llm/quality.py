@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from .shared import table
 from .gbt import Forest, fit
 
 #: Most labelled rows that the trees learn from: those of least hash.
@@ -134,5 +135,5 @@ def keep(docs: DataFrame, model: Forest) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: statistics and verdict of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return rate(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

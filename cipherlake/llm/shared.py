@@ -22,6 +22,12 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. One of fewer splits than there are cores is small, and is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back; files apart by a column if given. It goes when the driver ends."""
     spark = df.sparkSession

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from .shared import table
 
 LIMIT = 2048
 #: Chunk lengths that a worker remembers at most, and bytes in one call of the library.
@@ -92,4 +93,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: token counts of every document."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary())

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from .shared import table
 from .gbt import Forest, fit, isotonic
 
 SAMPLE = 20_000
@@ -178,5 +179,5 @@ def rate(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: toxicity of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return rate(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
