@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, context_mixing, decontaminate, html_extract, near_dup, pii, quality, secret_scan, token_counts, toxicity
+from . import base, byte_bpe, context_mixing, decontaminate, html_extract, near_dup, pii, quality, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_context_mixing": context_mixing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_minhash_near_dedup": near_dup.query,
     "op10_secret_scans": secret_scan.query,
+    **base.QUERIES,
 }
-ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE}
+ORACLE_SQL = {"op6_benchmark_decontamination": decontaminate.ORACLE, "op9_minhash_near_dedup": near_dup.ORACLE, **base.ORACLE_SQL}
