@@ -29,6 +29,8 @@ table that grows is broadcast or joined row by row. What is broadcast has a fixe
 30 MB). A training row's own occurrence does not count in its history. Sums are of integers and
 weights belong to texts or hash buckets, so scores do not depend on how rows fall into tasks.
 
+A slice holds whole texts; a text longer than a slice is one of its own.
+
 The base score adds add-one unigram probabilities of tokens from exact counts. Null and empty
 texts are one end mark. Each input row gives one row, equal rows equal ones; an empty table none.
 Other columns do not matter.
@@ -65,7 +67,7 @@ TRUST = np.array([[0.25, 0.85, 0.97, 0.99], [0.3, 0.85, 0.97, 0.99], [0.35, 0.85
 NEW_PRIOR = 20.0
 #: Bytes of text in a slice, and bytes of text whose keys share a bucket, and buckets at least.
 SLICE = 4 << 20
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 
 #: Bits of each spelling context's table (one to four bytes, the word so far).
 BITS = (16, 18, 18, 18, 18)
