@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,23 @@ def method_triple(observed: DataFrame) -> DataFrame:
     """Observations with the name, assurance and usage of the method they were made by."""
     pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in METHODS.items() for x in (k, v[i]))), F.col("method"))
     return observed.withColumns({n: pick(i) for i, n in enumerate(("method_name", "assurance", "usage"))})
+
+
+def build(observed: DataFrame, certificates: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assets, relations) of an inventory: algorithms, usages, certificates with their keys, and dependencies.
+
+    assets: id, kind, name; relations: src, relationship, dst. An id that came with several names keeps the least of them."""
+    algorithm, usage = native_id("algorithm", F.col("match")), native_id("usage", F.col("path"))
+    certificate, key = native_id("certificate", F.col("sha256")), native_id("public_key", F.col("key_sha256"))
+    dependency = native_id("dependency", F.col("ecosystem"), F.col("name"), F.col("version"))
+    signature, key_algorithm = native_id("algorithm", F.col("signature_oid")), native_id("algorithm", F.col("key_oid"))
+    known = certificates.where("sha256 is not null")
+    asset = lambda df, id_, kind, name: df.select(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"))
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("relationship"), dst.alias("dst"))
+    nodes = [
+        asset(observed, algorithm, "algorithm", F.col("match")), asset(observed, usage, "usage", F.col("path")), asset(known, certificate, "certificate", F.col("sha256")), asset(known, key, "public_key", F.col("key_sha256")),
+        asset(known, signature, "algorithm", F.col("signature_oid")), asset(known, key_algorithm, "algorithm", F.col("key_oid")), asset(dependencies, dependency, "dependency", F.concat_ws(" ", "name", "version")),
+    ]
+    edges = [edge(observed, usage, "uses", algorithm), edge(known, certificate, "signature_algorithm", signature), edge(known, certificate, "subject_key", key), edge(known, key, "key_algorithm", key_algorithm)]
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(nodes).groupBy("id", "kind").agg(F.min("name").alias("name")), union(edges).distinct()

@@ -88,3 +88,15 @@ def digests(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256)
     part = lambda k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
     return rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(part(k)).cast("string").alias(f"sum_{k}") for k in range(2)))
+
+
+def ordered_digest(rows: DataFrame, key: str, row: Column, order: str, block: int = 1000) -> DataFrame:
+    """(key, digest): depends on the order of a group's rows. Digests of blocks of rows are digested again, so only digests of blocks meet."""
+    ranked = rows.select(key, F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("_n"), F.sha2(row, 256).alias("_h"))
+
+    def together(part: DataFrame, *by: str) -> DataFrame:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_h"))), lambda x: x["_h"])
+        return part.groupBy(key, *by).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("_h"))
+
+    blocks = together(ranked.withColumn("_b", F.floor((F.col("_n") - 1) / block)), "_b").withColumnRenamed("_b", "_n")
+    return together(blocks).select(key, F.col("_h").alias("digest"))

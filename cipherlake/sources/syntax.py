@@ -131,6 +131,12 @@ def go_imports(text: str) -> list[tuple[str, int]]:
     return out
 
 
+def constructors(text: str, lang: str, name: str) -> list[tuple[int, str]]:
+    """(line, arguments) of every ``new name(...)`` outside comments and strings; arguments are simple ones."""
+    bare = "".join(re.sub(r"[^\n]", " ", t.text) if t.kind in ("comment", "string") else t.text for t in _with_gaps(text, lang))
+    return [(bare.count("\n", 0, m.start()) + 1, re.sub(r"\s+", " ", m[1]).strip()) for m in re.finditer(rf"\bnew\s+{re.escape(name)}\s*\(([^()]*)\)", bare)]
+
+
 def template_view(text: str) -> str:
     """Template regions blanked, so that places stay."""
     return re.sub(r"\{\{.*?\}\}|\{%.*?%\}", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
