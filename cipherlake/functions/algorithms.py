@@ -159,17 +159,37 @@ def policy_summary(decided: DataFrame, complete: bool) -> DataFrame:
     return decided.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "fail").alias("failing"), decision.alias("decision"))
 
 
-#: Recommended actions: (id, priority, title, condition over findings).
+#: Recommended actions: (id, priority, title, condition over findings). The ids are fixed values.
 ACTIONS = (
-    ("rotate_private_key", 1, "Remove and rotate the private key", "evidence_type = 'private_key'"),
-    ("disable_old_tls", 2, "Allow TLS 1.2 or later only", "rule_id = 'TLS_OLD_VERSION'"),
-    ("plan_hybrid_kex", 3, "Plan hybrid key exchange", "category in ('tls', 'ssh') and risk = 'quantum-vulnerable'"),
-    ("plan_token_signatures", 3, "Inventory token issuers and verifiers", "category = 'jwt'"),
-    ("replace_hash", 2, "Replace weak hashes by SHA-256", "rule_id in ('HASH_SHA1', 'HASH_MD5')"),
-    ("replace_cipher", 1, "Replace outdated ciphers by AES-GCM", "rule_id = 'JCA_DES'"),
-    ("java_provider", 4, "Use a provider with post-quantum algorithms", "path like '%.java' and risk = 'quantum-vulnerable'"),
-    ("leave_draft", 4, "Move from draft to final standards", "risk = 'quantum-uncertain'"),
-    ("review_usage", 9, "Review how the algorithm is used", "risk <> 'quantum-safe'"),
+    ("incident.private-key-rotation", 1, "Remove and rotate the private key", "evidence_type = 'private_key'"),
+    ("plan.hybrid-migration", 2, "Plan a staged or hybrid move", "risk = 'quantum-vulnerable'"),
+    ("jwt.remove-rsa-algorithms", 2, "Inventory token issuers and verifiers", "category = 'jwt'"),
+    ("tls.remove-rsa-kex", 2, "Take key transport by RSA out of the suites", "rule_id = 'TLS_CIPHER_RSA'"),
+    ("pki.hybrid-certificate-roadmap", 3, "Plan certificates with post-quantum signatures", "category = 'pki'"),
+    ("runtime.verify-pqc-capabilities", 3, "Find out what the deployed runtime can do", "category in ('crypto', 'jwt', 'tls', 'pki')"),
+    ("dependency.track-pqc-readiness", 3, "Follow the library's post-quantum plans", "substr(rule_id, 1, 4) = 'DEP_'"),
+    ("java.jca-ml-dsa-ml-kem", 4, "Use the platform's ML-DSA and ML-KEM", "path like '%.java' and risk = 'quantum-vulnerable'"),
+    ("java.runtime-upgrade-for-pqc", 5, "Move to a platform that has them", "path like '%.java' and risk = 'quantum-vulnerable'"),
+    ("java.bouncycastle-pqc", 5, "Or use a provider that has them", "path like '%.java' and risk = 'quantum-vulnerable'"),
+    ("node.webcrypto.pqc", 4, "Use the runtime's ML-DSA and ML-KEM", "(path like '%.js' or path like '%.ts') and risk = 'quantum-vulnerable'"),
+    ("go.hybrid-kem", 4, "Use crypto/mlkem beside the classical exchange", "path like '%.go' and risk = 'quantum-vulnerable'"),
+    ("python.signing-gateway", 4, "Sign behind one gateway that can change", "path like '%.py' and risk = 'quantum-vulnerable'"),
+    ("rust.oqs-integration", 4, "Choose a provider with post-quantum groups", "path like '%.rs' and risk = 'quantum-vulnerable'"),
+    ("ruby.crypto-service-boundary", 4, "Keep keys behind a service that can change", "path like '%.rb' and risk = 'quantum-vulnerable'"),
+    ("tls.nginx-hardening", 4, "TLS 1.3 and hybrid groups in nginx", "category = 'tls' and path like '%nginx%'"),
+    ("tls.httpd-hardening", 4, "TLS 1.3 and hybrid groups in httpd", "category = 'tls' and path like '%httpd%'"),
+    ("tls.envoy-hardening", 4, "TLS 1.3 and hybrid groups in Envoy", "category = 'tls' and path like '%envoy%'"),
+    ("tls.istio-hardening", 4, "TLS 1.3 and hybrid groups in Istio", "category = 'tls' and path like '%istio%'"),
+    ("tls.k8s-ingress-hardening", 4, "TLS 1.3 and hybrid groups at the ingress", "category = 'tls' and path like '%ingress%'"),
+    ("nginx.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%nginx%'"),
+    ("envoy.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%envoy%'"),
+    ("istio.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%istio%'"),
+    ("haproxy.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%haproxy%'"),
+    ("traefik.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%traefik%'"),
+    ("k8s.pqc-signature-readiness-note", 6, "Signatures are a matter of certificates", "category in ('tls', 'middleware') and path like '%k8s%'"),
+    ("cryptoapi.abstraction-layer", 7, "Put cryptography behind one interface", "category = 'crypto'"),
+    ("tls.review-reference", 8, "Review where TLS is set up", "category = 'tls'"),
+    ("crypto.review-reference", 9, "Review how the algorithm is used", "risk <> 'quantum-safe'"),
 )
 
 

@@ -15,7 +15,9 @@ SIGNALS = {"java-bouncycastle": "bouncycastle|bcprov|bcpkix", "jwt-lib": "jsonwe
 #: What each language's runtime can do, and from which version on.
 RUNTIME = {"java": ("JCA ML-KEM and ML-DSA", 24), "go": ("crypto/mlkem and hybrid TLS", 1), "javascript": ("ML-DSA and ML-KEM in crypto", 24), "typescript": ("ML-DSA and ML-KEM in crypto", 24), "python": ("cryptography on OpenSSL 3.5", 3), "rust": ("rustls X25519MLKEM768", 1), "ruby": ("openssl gem groups", 3)}
 #: Rules whose advice is their own alone.
-OWN_ADVICE = {"TLS_OLD_VERSION": "disable_old_tls"}
+OWN_ADVICE = {"TLS_CIPHER_RSA": "tls.remove-rsa-kex"}
+#: Hardening of each target.
+HARDENING = {"k8s": "tls.k8s-ingress-hardening", "nginx": "tls.nginx-hardening", "httpd": "tls.httpd-hardening", "envoy": "tls.envoy-hardening", "istio": "tls.istio-hardening"}
 
 
 def _lower(name: str) -> Column:
@@ -56,13 +58,16 @@ def runtime_note(language: Column) -> Column:
 def java_family(version: Column, signals: Column) -> Column:
     """Advice for Java, comma-joined: the platform's own algorithms from 24 on, else an upgrade; a provider where it is there already or the platform is older."""
     new = F.coalesce(T.first_number(version) >= RUNTIME["java"][1], F.lit(False))
-    return F.concat_ws(",", F.when(new, "java_platform_pqc").otherwise("java_upgrade"), F.when(F.array_contains(signals, "java-bouncycastle") | ~new, "java_provider_pqc"))
+    return F.concat_ws(",", F.when(new, "java.jca-ml-dsa-ml-kem").otherwise("java.runtime-upgrade-for-pqc"), F.when(F.array_contains(signals, "java-bouncycastle") | ~new, "java.bouncycastle-pqc"))
 
 
 def tls_family(found: DataFrame) -> Column:
-    """Advice for TLS, comma-joined: a rule's own alone if it has one; else hardening for configuration, and one for each target."""
+    """Advice for TLS, comma-joined: a rule's own alone if it has one; else hardening of each target, for configuration only, and a note for each."""
     own = F.element_at(F.create_map(*(F.lit(x) for kv in OWN_ADVICE.items() for x in kv)), F.col("rule_id"))
     targets = middleware_targets(found)
     config = S.extension(F.col("path")).isin("conf", "cfg", "yml", "yaml", "ini")
-    each = F.when(targets != "", F.array_join(F.transform(F.split(targets, ","), lambda t: F.concat(t, F.lit("_hybrid_groups"))), ","))
-    return F.coalesce(own, F.concat_ws(",", F.when(config, "harden_tls_configuration"), each))
+    hardening = F.create_map(*(F.lit(x) for kv in HARDENING.items() for x in kv))
+    listed = F.when(targets != "", F.split(targets, ",")).otherwise(F.array().cast("array<string>"))
+    harden = F.when(config, F.array_compact(F.transform(listed, lambda t: F.element_at(hardening, t)))).otherwise(F.array().cast("array<string>"))
+    notes = F.transform(listed, lambda t: F.concat(t, F.lit(".pqc-signature-readiness-note")))
+    return F.coalesce(own, F.array_join(F.concat(harden, notes), ","))

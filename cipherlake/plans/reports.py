@@ -300,7 +300,7 @@ def agg_runtime_profile(spark, sf_dir):
     return V.runtime_profile(profile_files(spark, sf_dir), names)
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN v >= 24 THEN 'java_platform_pqc' ELSE 'java_upgrade' END, CASE WHEN doc_id % 4 = 0 OR v < 24 OR v IS NULL THEN 'java_provider_pqc' END) AS actions FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN 17 + doc_id % 10 END AS v FROM documents)")
+@query("SELECT doc_id, concat_ws(',', CASE WHEN v >= 24 THEN 'java.jca-ml-dsa-ml-kem' ELSE 'java.runtime-upgrade-for-pqc' END, CASE WHEN doc_id % 4 = 0 OR v < 24 OR v IS NULL THEN 'java.bouncycastle-pqc' END) AS actions FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN 17 + doc_id % 10 END AS v FROM documents)")
 def rec_java_family(spark, sf_dir):
     version = F.when(F.col("doc_id") % 7 > 0, (17 + F.col("doc_id") % 10).cast("string"))
     signals = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("java-bouncycastle"))).otherwise(F.array(F.lit("openssl")))
@@ -313,10 +313,10 @@ def rec_middleware_targets(spark, sf_dir):
     return f.select("finding_id", V.middleware_targets(f).alias("targets"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'disable_old_tls' ELSE concat_ws(',', CASE WHEN doc_id % 3 < 2 THEN 'harden_tls_configuration' END, CASE WHEN doc_id % 3 > 0 THEN 'k8s_hybrid_groups,envoy_hybrid_groups' END) END AS actions FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tls.remove-rsa-kex' ELSE concat_ws(',', CASE WHEN doc_id % 3 = 1 THEN 'tls.k8s-ingress-hardening,tls.envoy-hardening' END, CASE WHEN doc_id % 3 > 0 THEN 'k8s.pqc-signature-readiness-note,envoy.pqc-signature-readiness-note' END) END AS actions FROM documents")
 def rec_tls_family(spark, sf_dir):
     k = F.col("doc_id") % 3
-    f = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "TLS_OLD_VERSION").otherwise("OTHER").alias("rule_id"), F.lit("tls").alias("category"), F.when(k == 0, "a/b.conf").when(k == 1, "k8s/envoy.yml").otherwise("k8s/envoy.txt").alias("path"))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "TLS_CIPHER_RSA").otherwise("OTHER").alias("rule_id"), F.lit("tls").alias("category"), F.when(k == 0, "a/b.conf").when(k == 1, "k8s/envoy.yml").otherwise("k8s/envoy.txt").alias("path"))
     return f.select("doc_id", V.tls_family(f).alias("actions"))
 
 
