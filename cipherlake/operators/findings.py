@@ -25,16 +25,18 @@ def comment_only(path: Column, line: Column) -> Column:
 def detect(files: DataFrame, rules: tuple[R.Rule, ...] = R.PACK) -> DataFrame:
     """Every match of the regex and key rules, by line: no shuffle, and texts without any match are left early.
 
-    The rules are unrolled into literal patterns, which are compiled once for each task."""
+    Texts are tried for all rules, after a quick look for their hints; lines for the rules that hit their text."""
     used = [r for r in R.validate(list(rules)) if r.kind in ("regex", "key")]
     # the rules that hit a text at all: its lines are tried for these only
     told = lambda r: reduce(or_, (F.contains("low", F.lit(h)) for h in r.hints)) if r.hints else F.lit(True)
     hit = F.array_compact(F.array(*(F.when(told(r) & F.col("text").rlike(r.pattern), F.lit(r.id)) for r in used)))
-    rows = sources.lines(files.withColumn("low", F.lower("text")).withColumn("hit", hit).where(F.size("hit") > 0), "hit")
-    marked = lambda r: F.when(F.array_contains("hit", r.id) & F.col("content").rlike(r.pattern), F.split(F.regexp_replace("content", r.pattern, "\u0001$0\u0002"), "\u0001"))
-    each = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.scope).alias("scope"), F.lit(2 if r.kind == "regex" else 5).alias("detector_seq"), marked(r).alias("parts")) for r in used))
-    found = rows.select("path", "file_seq", "line", "content", F.inline(F.filter(each, lambda x: x["parts"].isNotNull())))
-    found = found.where((F.col("kind") == "key") | ~comment_only(F.col("path"), F.col("content")))
+    told_of = lambda f: F.element_at(F.create_map(*(F.lit(x) for r in used for x in (r.id, f(r)))), F.col("rule_id"))
+    # all lines of a text for one rule, then for the next: a pattern is compiled once for each
+    hot = files.withColumn("low", F.lower("text")).withColumn("rule_id", F.explode(hit))
+    marked = F.regexp_replace("content", told_of(lambda r: r.pattern), F.lit("\u0001$0\u0002"))
+    found = sources.lines(hot, "rule_id").withColumn("marked", marked).where(F.contains("marked", F.lit("\u0001")))
+    found = found.withColumns({"kind": told_of(lambda r: r.kind), "scope": told_of(lambda r: r.scope), "parts": F.split("marked", "\u0001")})
+    found = found.withColumn("detector_seq", F.when(F.col("kind") == "regex", 2).otherwise(5)).where((F.col("kind") == "key") | ~comment_only(F.col("path"), F.col("content")))
     at = found.select("*", F.posexplode("parts").alias("k", "part")).where("k > 0")
     before = F.replace(F.array_join(F.slice("parts", F.lit(1), F.col("k")), ""), F.lit("\u0002"), F.lit(""))
     match = F.split_part("part", F.lit("\u0002"), F.lit(1))
