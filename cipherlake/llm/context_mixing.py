@@ -532,56 +532,69 @@ def mix(t: Tokens, code: np.ndarray, trust: np.ndarray, state: np.ndarray, chose
         for start in range(0, block.size, CHUNK):
             at = block[start : start + CHUNK]
             doc, target, guess = t.doc[at], codes[at], guesses[at]
+            low, high = int(doc[0]), int(doc[-1]) + 1  # texts are in order
             q, cell = trust[at], (doc * STATES + states[at]).astype(np.int32)
             on = np.flatnonzero(states[at])
             q, path = q[on], np.ones(on.size, np.float32)
             teach = np.flatnonzero(t.count[doc] > end)
             all_teach = teach.size == at.size
-            node, base = np.ones(at.size, np.int32), [c[at] for c in contexts]
-            got = np.zeros(at.size, np.float32)
+            base = [c[at] for c in contexts]
+            got, odds = np.zeros(at.size, np.float32), np.empty(at.size, np.float32)
             for j in range(CODE):
                 part = sum(j >= p for p in PARTS) - 1
                 w, first = weights[part].reshape(5, -1), start_mix[part, 0]
+                node = target >> (CODE - j) | 1 << j
                 bit = target >> (CODE - 1 - j) & 1
                 x = [tables.plain.take(node)]
                 if part == 0:
                     x += [table.take(b + node) for table, b in zip(tables.classes, base)]
-                z = w[0].take(cell) * x[0]
+                z = w[0].take(cell)
+                z *= x[0]
                 for k in range(1, len(x)):
-                    z += w[k].take(cell) * x[k]
+                    more = w[k].take(cell)
+                    more *= x[k]
+                    z += more
                 gone = None
                 if on.size:
-                    plain = first[0] * x[0].take(on)
+                    plain = x[0].take(on)
+                    plain *= first[0]
                     for k in range(1, len(x)):
                         plain += first[k] * x[k].take(on)
                     up = guess.take(on) >> (CODE - 1 - j) & 1
                     sign = (2 * up - 1).astype(np.float32)
                     whole = q + (one - q) * path
                     path = path / (one + np.exp(-sign * plain))
-                    right = np.clip((q + (one - q) * path) / whole, 1e-4, 1 - 1e-4)
+                    right = (q + (one - q) * path) / whole
+                    np.minimum(np.maximum(right, 1e-4, out=right), 1 - 1e-4, out=right)
                     hint = sign * np.log(right / (one - right))
                     z[on] += w[4].take(cell.take(on)) * hint
                     gone = up != bit.take(on)
-                z = np.clip(z, -14, 14)
-                odds = np.exp(-z)
-                got -= np.where(bit == 1, 0, z) + np.log(one + odds)
+                np.minimum(np.maximum(z, -14, out=z), 14, out=z)
+                np.exp(np.negative(z, out=odds), out=odds)
+                odds += one
+                got -= np.log(odds)
+                z *= 1 - bit
+                got -= z
                 if teach.size:
-                    p = one / (one + odds)
-                    err, curve = bit - p, p * (one - p)
+                    p = one / odds
+                    err = bit - p
+                    curve = p * (one - p)
                     if on.size:
                         x.append(np.zeros(at.size, np.float32))
                         x[-1][on] = hint
-                    cells, size = cell if all_teach else cell.take(teach), t.n * STATES
+                    cells, size = (cell if all_teach else cell.take(teach)) - low * STATES, (high - low) * STATES
+                    if not all_teach:
+                        err, curve = err.take(teach), curve.take(teach)
                     for k, v in zip((*range(len(x) - 1), 4) if on.size else range(len(x)), x):
-                        step, curved = err * v, curve * v * v
-                        if not all_teach:
-                            step, curved = step.take(teach), curved.take(teach)
-                        slope[part, k] += np.bincount(cells, step, size).reshape(t.n, STATES)
-                        bend[part, k] += np.bincount(cells, curved, size).reshape(t.n, STATES)
+                        v = v if all_teach else v.take(teach)
+                        step = err * v
+                        slope[part, k, low:high] += np.bincount(cells, step, size).reshape(-1, STATES)
+                        np.multiply(curve, v, out=step)
+                        step *= v
+                        bend[part, k, low:high] += np.bincount(cells, step, size).reshape(-1, STATES)
                 if gone is not None and gone.any():
                     cell[on[gone]] = doc[on[gone]] * STATES
                     on, q, path = on[~gone], q[~gone], path[~gone]
-                node = node * 2 + bit
             loss[at] = got
         weights += (slope / bend).astype(np.float32)
         np.clip(weights, -0.5, 2, out=weights)
@@ -638,13 +651,14 @@ def spelling_counts(once: DataFrame, buckets: int) -> np.ndarray:
         for batch in batches:
             for row in batch.to_pylist():
                 seen, words = np.zeros((2, size), np.int64), _spelled(row)
+                flat = seen.ravel()  # the same memory, one index
                 for begin in range(0, words[1].size, 20_000):
                     stream = Stream(words[0], *(x[begin : begin + 20_000] for x in words[1:]))
                     for start in range(0, stream.byte.size, CHUNK):
                         part = np.arange(start, min(start + CHUNK, stream.byte.size))
                         for bit, at in slots(stream.take(part), stream.byte[part]):
                             for slot in at:
-                                np.add.at(seen, (bit, slot), 1)
+                                np.add.at(flat, slot + bit * size, 1)
                 blocks = seen.reshape(-1, BLOCK)
                 for b in np.flatnonzero(blocks.any(1)).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([row["bucket"]]), pa.array([_squeeze(blocks[b])], pa.binary())], names=["block", "salt", "value"])
