@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cipherlake.plans.manifests import manifest
-from cipherlake.plans.queries import _FILES, BASE, _list, _quoted, files, found, query, sql_id, table
+from cipherlake.plans.queries import _FILES, BASE, _quoted, files, found, query, sql_id, table
 from cipherlake.functions import scalars as S
 from cipherlake.sources import files as X
 from cipherlake.sources import manifests as M
