@@ -13,7 +13,8 @@ central member of its buckets only, then with one of each other component that i
 linked documents are merged; then only members outside their bucket's largest component are
 compared with the members of other components, each pair once, if bitmaps of their sets allow the
 similarity. Large buckets are divided by set size and dealt out in parts. No pair that could
-still join two components is left out.
+still join two components is left out. Of the texts only those to be compared are shuffled; a bit
+filter of fixed size keeps most others back.
 
 Null, empty and word-free texts have empty sets and link with nothing; fewer than four words
 are one shingle. Each input row gives one row. An id with several texts reaches what any text of
@@ -44,6 +45,10 @@ SALTS = 16
 LARGE = 128
 #: Rounds that compare documents with the most central members of their buckets.
 HUB_ROUNDS = 2
+#: Bytes of text that a worker takes at once: arrays over their bytes and words take many times as much.
+SLICE = 1 << 19
+#: Bits of the filter that keeps back texts that are not wanted, and of each bitmap it consists of: its size is fixed.
+FILTER_BITS, BITMAP_BITS = 22, 15
 
 _ROUND = np.random.RandomState(9)
 _MUL = _ROUND.randint(1, 2**62, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 value, at = shingles(*T.buffers(part.column("text")))
                 size = np.diff(at)
                 full = np.flatnonzero(size > 0)
@@ -145,7 +150,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 value, at = shingles(*T.buffers(part.column("text")))
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
                 bits = np.zeros((at.size - 1, 64 * BITMAP), bool)
@@ -163,11 +168,21 @@ def _allowed(a: str, b: str) -> str:
     return f"least({lacks(a, b)}, {lacks(b, a)}) * {100 + PERCENT} >= ({a}.n + {b}.n) * {PERCENT}"
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def texts_of(docs: DataFrame, stands: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the wanted representatives; stands (id, text_hash, rep) says which rows of docs they are.
+
+    A text goes into the join only if its slot in a bit filter of the wanted ones is set."""
+    chosen = written(stands.join(wanted, "rep", "left_semi"), "wanted")
+    slot = F.xxhash64("id", "text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    slots = {"__map": F.shiftright(slot, BITMAP_BITS), "__bit": slot.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))}
+    held = chosen.withColumns(slots).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__held"))
+    is_set = "shiftright(int(conv(hex(substring(__held, int(__bit div 8) + 1, 1)), 16, 10)), int(__bit % 8)) & 1 = 1"
+    rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(NAMELESS))).withColumns(slots).join(F.broadcast(held), "__map").where(is_set)
+    return rows.select("id", "text_hash", "text").join(chosen, ["id", "text_hash"]).select("rep", "text")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full sets are similar enough."""
-    if sets is None:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = written(shingle_sets(docs.join(wanted, "rep", "left_semi")), "sets")
     left, right = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -221,7 +236,7 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = keys.select("key", "at", "rep")
     about = classes.join(central, "rep").select("rep", "n", "signature", "met")
     stands = classes.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), "rep")
-    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(NAMELESS))).join(stands, ["id", "text_hash"]).select("rep", "text")
+    sets_of = lambda wanted: written(shingle_sets(texts_of(docs, stands, wanted)), "sets")
     classes = classes.drop("first")
     links, current = None, about.withColumn("comp", F.col("rep"))
     for turn in range(HUB_ROUNDS):
@@ -231,13 +246,14 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         star = placed.select("key", "rep", "comp").join(hubs, "key").where("comp <> h.comp")
         # a member tries one hub at first, then one of each other component that it meets
         best = star.groupBy("rep", *([] if turn == 0 else ["h.comp"])).agg(F.max("h").alias("h"))
-        links = _more(links, confirm(texts, _candidates(best.select("rep", (-F.col("h.back")).alias("hub")), current)))
+        pairs = _candidates(best.select("rep", (-F.col("h.back")).alias("hub")), current)
+        links = _more(links, confirm(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())))
         current = written(label(about, links), "labels")
     placed = members.join(current.select("rep", "comp"), "rep")
     sized = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("c") - F.max("c")).alias("others"), F.sum("c").alias("all")).where("parts > 1").drop("parts")
     open_members = written(placed.join(main, "key"), "open")
-    sets = written(shingle_sets(texts.join(open_members.select("rep").distinct(), "rep", "left_semi")), "sets")
+    sets = sets_of(open_members.select("rep").distinct())
     bits = sets.select("rep", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
     rest = open_members.join(current.select("rep", "n", "signature"), "rep").join(bits, "rep")
     # a large bucket is divided: by set size, as similar sets are of the same or the next band, and its compared members into parts
@@ -249,7 +265,7 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = rest.withColumn("band", F.explode(bands)).withColumn("salt", F.explode(F.when(large, F.sequence(whole, parts - 1)).otherwise(F.array(whole)))).alias("y")
     other = f"x.key = y.key and x.band = y.band and x.salt = y.salt and x.comp <> y.comp and (y.comp = y.main or x.rep < y.rep) and {_allowed('x', 'y')} and {_near('x', 'y')} and x.at = {_first_shared('x', 'y')}"
     pairs = x.join(y, F.expr(other)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    links = _more(links, confirm(texts, written(pairs, "pairs"), sets))
+    links = _more(links, confirm(written(pairs, "pairs"), sets))
     final = label(classes, links).select("set_a", "set_b", "n", "rep", "comp")
     return signed, final
 

@@ -21,6 +21,8 @@ from .gbt import Forest, fit
 
 #: Most labelled rows that the trees learn from: those of least hash.
 SAMPLE = 20_000
+#: Bytes of text that a worker takes at once: arrays over their bytes and words take many times as much.
+SLICE = 1 << 19
 #: The method rejects below this probability of good quality.
 THRESHOLD = 0.5
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
@@ -94,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 x = statistics(*T.buffers(part.column("text")))["features"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("_y")], names=["x", "y"])
 
@@ -113,7 +115,7 @@ def rate(docs: DataFrame, model: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 stats = statistics(*T.buffers(part.column("text")))
                 failed, kept, score = verdicts(stats, model)
                 columns = [part.column("doc_id"), *(pa.array(stats[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(score)]
@@ -127,7 +129,7 @@ def keep(docs: DataFrame, model: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 yield part.filter(pa.array(verdicts(statistics(*T.buffers(part.column("text"))), model)[1]))
 
     return docs.mapInArrow(run, docs.schema)
