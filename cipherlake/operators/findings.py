@@ -170,10 +170,13 @@ def in_private_range(found: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def merge_intervals(spans: DataFrame, *key: str) -> DataFrame:
-    """Overlapping or touching (first, last) of each key as one."""
-    by = Window.partitionBy(*key).orderBy("first", "last")
-    starts = spans.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("first") - 1)).cast("int"))
-    return starts.withColumn("island", F.sum("new").over(by)).groupBy(*key, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+    """Overlapping or touching (first, last) of each key as one. Missing ends come last and begin nothing after a known last; a span that ends before it begins is one by itself."""
+    by = Window.partitionBy(*key).orderBy(F.asc_nulls_last("first"), F.asc_nulls_last("last"))
+    before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    starts = spans.withColumn("new", F.when(F.col("first") > F.coalesce(before, F.col("first") - 1), 1).otherwise(0))
+    # counted by rows: equal spans may each begin one
+    island = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return starts.withColumn("island", island).groupBy(*key, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
 def source_snippets(found: DataFrame, rows: DataFrame, around: int = 2) -> DataFrame:
