@@ -79,12 +79,15 @@ def build(observed: DataFrame, certificates: DataFrame, dependencies: DataFrame)
     dependency = native_id("dependency", F.col("ecosystem"), F.col("name"), F.col("version"))
     signature, key_algorithm = native_id("algorithm", F.col("signature_oid")), native_id("algorithm", F.col("key_oid"))
     known = certificates.where("sha256 is not null")
-    asset = lambda df, id_, kind, name: df.select(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"))
-    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("relationship"), dst.alias("dst"))
+    asset = lambda id_, kind, name: F.struct(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"))
+    edge = lambda src, kind, dst: F.struct(src.alias("src"), F.lit(kind).alias("relationship"), dst.alias("dst"))
+    # all rows of a source come from one pass over it
+    rows = lambda df, *of: df.select(F.inline(F.array(*of)))
     nodes = [
-        asset(observed, algorithm, "algorithm", F.col("match")), asset(observed, usage, "usage", F.col("path")), asset(known, certificate, "certificate", F.col("sha256")), asset(known, key, "public_key", F.col("key_sha256")),
-        asset(known, signature, "algorithm", F.col("signature_oid")), asset(known, key_algorithm, "algorithm", F.col("key_oid")), asset(dependencies, dependency, "dependency", F.concat_ws(" ", "name", "version")),
-    ]
-    edges = [edge(observed, usage, "uses", algorithm), edge(known, certificate, "signature_algorithm", signature), edge(known, certificate, "subject_key", key), edge(known, key, "key_algorithm", key_algorithm)]
+        rows(observed, asset(algorithm, "algorithm", F.col("match")), asset(usage, "usage", F.col("path"))),
+        rows(known, asset(certificate, "certificate", F.col("sha256")), asset(key, "public_key", F.col("key_sha256")), asset(signature, "algorithm", F.col("signature_oid")), asset(key_algorithm, "algorithm", F.col("key_oid"))),
+        rows(dependencies, asset(dependency, "dependency", F.concat_ws(" ", "name", "version"))),
+    ]
+    edges = [rows(observed, edge(usage, "uses", algorithm)), rows(known, edge(certificate, "signature_algorithm", signature), edge(certificate, "subject_key", key), edge(key, "key_algorithm", key_algorithm))]
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return union(nodes).groupBy("id", "kind").agg(F.min("name").alias("name")), union(edges).distinct()

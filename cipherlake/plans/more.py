@@ -19,6 +19,7 @@ from cipherlake.sources import files as X
 from cipherlake.sources import manifests as M
 from cipherlake.sources import rules as R
 from cipherlake.sources import syntax as Y
+from cipherlake.sources.tables import written
 
 
 @query("SELECT page_id, CAST(page_id % 30 + CASE WHEN page_id % 2 = 0 THEN 4570 ELSE 0 END AS INT) AS code, CASE WHEN page_id % 2 = 0 AND page_id % 30 BETWEEN 17 AND 19 THEN 'hybrid' WHEN page_id % 2 = 1 AND page_id % 30 IN (23, 24, 29) THEN 'classical' ELSE 'unknown' END AS class FROM pages")
@@ -121,7 +122,7 @@ def inv_build_relations(spark, sf_dir):
 @query("SELECT CAST(0 AS BIGINT) AS dangling, CAST(0 AS BIGINT) AS repeated, CAST(1 AS BIGINT) AS planted")
 def inv_validate(spark, sf_dir):
     """A whole inventory has no dangling relation and no repeated id; one that is planted is found."""
-    nodes, edges = _inventory(spark, sf_dir)
+    nodes, edges = (written(df, name) for df, name in zip(_inventory(spark, sf_dir), ("assets", "relations")))  # each is read several times
     wrong = edges.limit(1).withColumn("dst", F.lit("nowhere"))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return count(I.dangling(edges, nodes), "dangling").crossJoin(count(I.duplicates(nodes), "repeated")).crossJoin(count(I.dangling(wrong, nodes), "planted"))  # one row each
