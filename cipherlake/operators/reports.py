@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherlake.functions import scalars as S
 from cipherlake.operators.findings import is_inventory
+from cipherlake.sources.tables import written
 
 
 def sanitise(found: DataFrame, *columns: str) -> DataFrame:
@@ -45,6 +46,8 @@ def sarif_rules(found: DataFrame) -> DataFrame:
 
 def sarif_lines(found: DataFrame, tool: str = "cipherlake") -> DataFrame:
     """(part, key, line): a whole SARIF document by lines; sorted by part and key and written as text, its files in order are the document."""
+    # read for the rules, the results and the first of each: scanned once
+    found = written(found.select("finding_id", "rule_id", "category", "risk", "severity", "migration_hint", "description", "path", "line", "column"), "findings")
     rules, results = sarif_rules(found).select(F.col("rule_id").alias("key"), "json"), sarif_results(found).select(F.col("finding_id").alias("key"), "json")
     spark = found.sparkSession
 
