@@ -73,10 +73,15 @@ def recognized(token: Column) -> Column:
     return F.coalesce(_lookup(SPELLINGS, token), F.when(token.isin(*CANONICAL), token))
 
 
+#: A known spelling as a whole token; texts are not cut into tokens, of which nearly all are no names.
+_KNOWN = sorted({*SPELLINGS, *CANONICAL}, key=lambda x: (-len(x), x))
+_WHOLE = rf"(?<![A-Za-z0-9_-])(?=[{''.join(sorted({x[0] for x in _KNOWN}))}])(?:{'|'.join(_KNOWN)})(?![A-Za-z0-9_-])"
+
+
 def algorithms_in(text: Column) -> Column:
     """Sorted distinct algorithms that a text names."""
-    tokens = F.array_distinct(F.split(text, "[^A-Za-z0-9_-]+"))
-    return F.array_sort(F.filter(F.array_distinct(F.transform(tokens, recognized)), lambda x: x.isNotNull()))
+    named = F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(named), recognized)))
 
 
 def namespace(identifier: Column) -> Column:
