@@ -139,5 +139,8 @@ def select_files(files: DataFrame, limit: int = MAX_BYTES, include_all: bool = F
 
 def lines(files: DataFrame, *more: str) -> DataFrame:
     """(path, file_seq, line, content) and more columns: 1-based lines without carriage return, and no empty last line."""
-    split = files.select("path", "file_seq", *more, F.posexplode(F.split("text", "\n")).alias("i", "content"), F.size(F.split("text", "\n")).alias("n"))
-    return split.where(~((F.col("i") == F.col("n") - 1) & (F.col("content") == ""))).select("path", "file_seq", *more, (F.col("i") + 1).alias("line"), F.regexp_replace("content", r"\r$", "").alias("content"))
+    # the empty last line goes before the lines are dealt out: a count beside them would split the whole text again for each line
+    held = files.select("path", "file_seq", *more, F.split("text", "\n").alias("p"))
+    held = held.withColumn("p", F.when(F.element_at("p", -1) == "", F.slice("p", F.lit(1), F.size("p") - 1)).otherwise(F.col("p")))
+    split = held.select("path", "file_seq", *more, F.posexplode_outer("p").alias("i", "content")).where("i is not null")
+    return split.select("path", "file_seq", *more, (F.col("i") + 1).alias("line"), F.regexp_replace("content", r"\r$", "").alias("content"))
